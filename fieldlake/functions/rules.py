@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.functions import text as tx
@@ -30,10 +30,8 @@ class InstrumentRule:
     date_columns: tuple[str, ...] = ()
     time_columns: tuple[str, ...] = ()
 
-    def matches(self, line: Column) -> Column:
-        """Boolean Column: does ``line`` have this shape?"""
-        body = tx.strip_bom(line)
-        fields = tx.raw_fields(body)
+    def matches(self, fields: Column) -> Column:
+        """Boolean Column: do these uncleaned fields have this shape?"""
 
         def at(i: int) -> Column:
             return tx.clean_field(F.get(fields, F.lit(i)))
@@ -109,10 +107,9 @@ class RuleSet:
             chain = chain.when(instrument == rule.instrument_id, build(rule))
         return chain.otherwise(result)
 
-    def is_data_row(self, instrument: Column, line: Column) -> Column:
-        """True for a data line of its instrument; comments and blanks never are."""
-        shape = self._per_instrument(instrument, lambda rule: rule.matches(line), F.lit(False))
-        return F.coalesce(~tx.is_blank_or_comment(line) & shape, F.lit(False))
+    def has_shape(self, instrument: Column, fields: Column) -> Column:
+        """True when the uncleaned fields fit the rule of their instrument."""
+        return self._per_instrument(instrument, lambda rule: rule.matches(fields), F.lit(False))
 
     def timestamp_positions(self, instrument: Column, columns: Column) -> Column:
         """Where the time of a record sits in a header: ``STRUCT<whole, date, time>``.
@@ -146,6 +143,20 @@ def record_timestamp(positions: Column, fields: Column) -> Column:
     return F.when(positions["parted"], F.coalesce(F.nullif(whole, F.lit("")), joined)).otherwise(whole)
 
 
-def classify_lines(lines, rules: RuleSet):
-    """Add ``is_data`` to a DataFrame of ``(instrument_id, line)``."""
-    return lines.withColumn("is_data", rules.is_data_row(F.col("instrument_id"), F.col("line")))
+def classify_lines(lines: DataFrame, rules: RuleSet, instrument: str = "instrument_id", line: str = "line") -> DataFrame:
+    """Add ``is_data``: true for data lines; comments and blanks never are.
+
+    The stripped line and its fields are columns of their own, so that they are
+    computed once per row for all the tests of a rule.
+    """
+    body, fields = F.col("_body"), F.col("_fields")
+    return (
+        lines.withColumn("_body", tx.strip_bom(F.col(line)))
+        .withColumn("_fields", tx.raw_fields(body))
+        .withColumn(
+            "is_data",
+            ~((body == "") | F.substring(body, 1, 1).isin(*tx.COMMENT_MARKS))
+            & rules.has_shape(F.col(instrument), fields),
+        )
+        .drop("_body", "_fields")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import strip
@@ -42,20 +42,24 @@ def _cleaned(value: Column) -> Column:
 
 
 def _iso_parts(text: Column) -> Column:
-    """``[date, hour, minute, second, fraction, zone]`` of ISO text."""
-    return F.split(F.regexp_replace(text, ISO, "$1-$2$4-$3$5|$6$10|$7$11|$8$12|$9$13|$14"), r"\|")
+    """``[date, hour, minute, second, fraction, zone]`` of ISO text, else null."""
+    marked = F.regexp_replace(text, ISO, "$1-$2$4-$3$5|$6$10|$7$11|$8$12|$9$13|$14")
+    return F.when(text.rlike(ISO), F.split(marked, r"\|"))
 
 
-def _iso_wall_clock(text: Column) -> Column:
-    parts = _iso_parts(text)
-
+def _iso_wall_clock(parts: Column, zone: Column) -> Column:
     def two(i: int) -> Column:
         return F.coalesce(F.nullif(F.get(parts, F.lit(i)), F.lit("")), F.lit("00"))
 
     fraction = F.substring(F.coalesce(F.nullif(F.get(parts, F.lit(4)), F.lit("")), F.lit("0")), 1, 6)
     clock = F.concat(two(1), F.lit(":"), two(2), F.lit(":"), two(3), F.lit("."), fraction)
     parsed = _ntz(F.concat(F.get(parts, F.lit(0)), F.lit(" "), clock))
-    return F.when(_zone_is_valid(F.get(parts, F.lit(5))), parsed)
+    return F.when(_zone_is_valid(zone), parsed)
+
+
+def _iso_zone(parts: Column) -> Column:
+    """Zone suffix of ISO text, empty when there is none."""
+    return F.coalesce(F.get(parts, F.lit(5)), F.lit(""))
 
 
 def _zone_piece(zone: Column, group: int) -> Column:
@@ -64,8 +68,7 @@ def _zone_piece(zone: Column, group: int) -> Column:
 
 
 def _zone_is_valid(zone: Column) -> Column:
-    in_range = (_zone_piece(zone, 1) < 24) & (_zone_piece(zone, 2) < 60) & (_zone_piece(zone, 3) < 60)
-    return (zone == "") | in_range
+    return (zone == "") | (F.abs(_zone_seconds(zone)) < 86400)
 
 
 def _zone_seconds(zone: Column) -> Column:
@@ -73,28 +76,17 @@ def _zone_seconds(zone: Column) -> Column:
     return F.when(F.startswith(zone, F.lit("-")), -total).otherwise(total)
 
 
-def _iso_zone(text: Column) -> Column:
-    """Zone suffix of ISO text, empty when there is none."""
-    return F.when(text.rlike(ISO), F.get(_iso_parts(text), F.lit(5))).otherwise(F.lit(""))
-
-
-def parse_datetime(value: Column, date_order: str = "dmy") -> Column:
-    """Wall-clock ``TIMESTAMP_NTZ`` of a timestamp text, null when unreadable.
-
-    ISO-8601 is tried first (any zone suffix is left out of the result), then
-    year-first text, then ``d/m/Y`` and ``m/d/Y``.  Ambiguous dates such as
-    3/4/2026 are day-first; ``date_order="mdy"`` turns that round.
-    """
+def _wall_clock(text: Column, parts: Column, zone: Column, date_order: str) -> Column:
     if date_order not in ("dmy", "mdy"):
         raise ValueError(f"date_order must be 'dmy' or 'mdy', not {date_order!r}")
-    text = _cleaned(value)
     spaced = F.regexp_replace(text, r"[Tt]|\s+", " ")
     has_seconds = text.rlike(_HAS_SECONDS)
     day_first = F.when(has_seconds, _ntz(F.regexp_replace(text, DAY_OR_MONTH_FIRST, "$3-$2-$1 $4")))
     month_text = F.regexp_replace(text, DAY_OR_MONTH_FIRST, "$3-$1-$2 $4")
-    month_first = F.when(~text.rlike(_HAS_FRACTION), _ntz(F.when(has_seconds, month_text).otherwise(F.concat(month_text, F.lit(":00")))))
+    padded = F.when(has_seconds, month_text).otherwise(F.concat(month_text, F.lit(":00")))
+    month_first = F.when(~text.rlike(_HAS_FRACTION), _ntz(padded))
     either = (day_first, month_first) if date_order == "dmy" else (month_first, day_first)
-    iso = F.when(text.rlike(ISO), _iso_wall_clock(text))
+    iso = F.when(parts.isNotNull(), _iso_wall_clock(parts, zone))
     return (
         F.when(text.rlike(DAY_OR_MONTH_FIRST), F.coalesce(*either))
         .when(text.rlike(YEAR_FIRST_SLASH), _ntz(F.regexp_replace(text, YEAR_FIRST_SLASH, "$1-$2-$3 $4")))
@@ -102,35 +94,87 @@ def parse_datetime(value: Column, date_order: str = "dmy") -> Column:
     )
 
 
+def _to_utc(wall: Column, zone: Column, naive_zone: str | None) -> Column:
+    naive = wall
+    if naive_zone:
+        naive = F.to_utc_timestamp(wall.cast("timestamp"), naive_zone).cast("timestamp_ntz")
+    return F.when(zone == "", naive).otherwise(wall - F.make_dt_interval(secs=_zone_seconds(zone)))
+
+
+def _iso_with_zone(wall: Column, zone: Column) -> Column:
+    offset = F.abs(_zone_seconds(zone))
+    hours, minutes, seconds = F.floor(offset / 3600), F.floor(offset % 3600 / 60), offset % 60
+    suffix = F.concat(
+        F.when(_zone_seconds(zone) < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.format_string("%02d:%02d", hours, minutes),
+        F.when(seconds > 0, F.format_string(":%02d", seconds)).otherwise(F.lit("")),
+    )
+    return F.when(zone == "", iso_text(wall)).otherwise(F.concat(iso_text(wall), suffix))
+
+
+def _readings(value: Column) -> tuple[Column, Column, Column]:
+    text = _cleaned(value)
+    parts = _iso_parts(text)
+    return text, parts, _iso_zone(parts)
+
+
+def parse_datetime(value: Column, date_order: str = "dmy") -> Column:
+    """Wall-clock ``TIMESTAMP_NTZ`` of a timestamp text, null when unreadable.
+
+    ISO-8601 is tried first (any zone suffix is left out of the result), then
+    year-first text, then ``d/m/Y`` and ``m/d/Y``.  Ambiguous dates such as
+    3/4/2026 are day-first; ``date_order="mdy"`` turns that round.
+    """
+    text, parts, zone = _readings(value)
+    return _wall_clock(text, parts, zone, date_order)
+
+
 def datetime_for_compare(value: Column, date_order: str = "dmy", naive_zone: str | None = None) -> Column:
     """Naive UTC time used by every range test.
 
     Zoned text is shifted to UTC.  Zone-less text is taken as it stands unless
     ``naive_zone`` names the zone its clock runs in.
     """
-    text = _cleaned(value)
-    zone = _iso_zone(text)
-    wall = parse_datetime(value, date_order)
-    shifted = wall - F.make_dt_interval(secs=_zone_seconds(zone))
-    naive = wall
-    if naive_zone:
-        naive = F.to_utc_timestamp(wall.cast("timestamp"), naive_zone).cast("timestamp_ntz")
-    return F.when(zone != "", shifted).otherwise(naive)
+    text, parts, zone = _readings(value)
+    return _to_utc(_wall_clock(text, parts, zone, date_order), zone, naive_zone)
 
 
 def iso_format(value: Column, date_order: str = "dmy") -> Column:
     """ISO text of a timestamp text, with its zone suffix when it had one."""
-    zone = _iso_zone(_cleaned(value))
-    seconds = _zone_piece(zone, 3)
-    suffix = F.when(
-        zone != "",
-        F.concat(
-            F.substring(zone, 1, 1),
-            F.format_string("%02d:%02d", _zone_piece(zone, 1), _zone_piece(zone, 2)),
-            F.when(seconds > 0, F.format_string(":%02d", seconds)).otherwise(F.lit("")),
-        ),
-    ).otherwise(F.lit(""))
-    return F.concat(iso_text(parse_datetime(value, date_order)), suffix)
+    text, parts, zone = _readings(value)
+    return _iso_with_zone(_wall_clock(text, parts, zone, date_order), zone)
+
+
+def with_times(
+    df: DataFrame,
+    source: str,
+    *,
+    wall: str | None = None,
+    compare: str | None = None,
+    iso: str | None = None,
+    date_order: str = "dmy",
+    naive_zone: str | None = None,
+) -> DataFrame:
+    """Add the wanted readings of the text column ``source``, parsing it once.
+
+    The intermediate columns keep the expression small, which matters when the
+    three readings are used together on every row of a table.
+    """
+    text, parts, zone = F.col("_text"), F.col("_parts"), F.col("_zone")
+    staged = (
+        df.withColumn("_text", _cleaned(F.col(source)))
+        .withColumn("_parts", _iso_parts(text))
+        .withColumn("_zone", _iso_zone(parts))
+        .withColumn("_wall", _wall_clock(text, parts, zone, date_order))
+    )
+    added = {}
+    if wall:
+        added[wall] = F.col("_wall")
+    if compare:
+        added[compare] = _to_utc(F.col("_wall"), zone, naive_zone)
+    if iso:
+        added[iso] = _iso_with_zone(F.col("_wall"), zone)
+    return staged.withColumns(added).drop("_text", "_parts", "_zone", "_wall")
 
 
 def iso_text(ts: Column) -> Column:
