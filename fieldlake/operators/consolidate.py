@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.functions.text import is_blank
 from fieldlake.operators.positions import BLOCK_ROWS, assign_source_index
+from fieldlake.session import stage
 
 GROUP = "instrument_id"
 OBJECT = [GROUP, "object_key"]
@@ -20,11 +21,12 @@ def _count_if(condition: Column) -> Column:
     return F.count_if(condition).cast("bigint")
 
 
-def object_stats(lines: DataFrame) -> DataFrame:
+def object_stats(lines: DataFrame, *more: Column) -> DataFrame:
     """One row per object: line counts and the positions a header search needs.
 
     A hash aggregate over fixed-width values; landing keeps the same columns up
     to date per batch, so totals and headers need not read the lines again.
+    ``more`` adds aggregates.
     """
     other = ~F.col("is_data") & ~is_blank(F.col("line"))
     return lines.groupBy(*OBJECT).agg(
@@ -33,6 +35,7 @@ def object_stats(lines: DataFrame) -> DataFrame:
         F.min(F.when(F.col("is_data"), F.col("pos"))).alias("first_data_pos"),
         F.max(F.when(F.col("is_data"), F.col("pos"))).alias("last_data_pos"),
         F.min(F.when(other, F.col("pos"))).alias("first_other_pos"),
+        *more,
     )
 
 
@@ -46,7 +49,7 @@ def bronze_rows(lines: DataFrame) -> DataFrame:
     return lines.groupBy(GROUP).agg(_count_if(F.col("is_data")).alias("bronze_rows"))
 
 
-def recover_header(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+def recover_header(lines: DataFrame, stats: DataFrame | None = None, settle: bool = False) -> DataFrame:
     """Header line of each instrument: ``instrument_id, object_key, line``.
 
     In (object, position) order, the first data row that has a non-data line
@@ -62,6 +65,8 @@ def recover_header(lines: DataFrame, stats: DataFrame | None = None) -> DataFram
         .agg(F.min(F.struct("object_key", "first_other_pos")).alias("_first"))
         .select(GROUP, F.col("_first.object_key"), F.col("_first.first_other_pos"))
     )
+    if settle:
+        chosen = stage(chosen, "header-objects")
     in_chosen = lines.join(chosen, OBJECT).filter(F.col("pos") >= F.col("first_other_pos"))
     first_data = in_chosen.filter("is_data").groupBy(*OBJECT).agg(F.min("pos").alias("_data_pos"))
     return (
@@ -108,7 +113,11 @@ def first_occurrence(lines: DataFrame) -> DataFrame:
 
 def collect_preamble(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Distinct non-data lines per instrument in first-seen order: ``seq, line``."""
-    distinct = distinct_lines(lines.filter(~F.col("is_data")))
+    return number_preamble(distinct_lines(lines.filter(~F.col("is_data"))), block_rows)
+
+
+def number_preamble(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``seq`` for distinct non-data lines, by their first position."""
     return assign_source_index(distinct, name="seq", block_rows=block_rows).select(GROUP, "seq", "line")
 
 

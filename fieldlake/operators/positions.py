@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldlake.functions.text import is_blank
+
 BLOCK_ROWS = 1_000_000
 
 
@@ -71,7 +73,7 @@ def previous_nondata_line(
     """
     blocks = _with_block(lines, pos, block_rows)
     key = [group, object_key, "_block"]
-    mark = F.when(~F.col("is_data") & (F.trim("line") != ""), F.col("line"))
+    mark = F.when(~F.col("is_data") & ~is_blank(F.col("line")), F.col("line"))
     tail = blocks.groupBy(*key).agg(F.max_by(mark, F.when(mark.isNotNull(), F.col(pos))).alias("_tail"))
     earlier = Window.partitionBy(group, object_key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = tail.select(*key, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
