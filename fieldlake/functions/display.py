@@ -14,13 +14,23 @@ def display_name(instrument: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """1024-based size text with at most one decimal; ``0 B`` for null or zero."""
+    """1024-based size text with at most one decimal; ``0 B`` for null or zero.
+
+    Tenths are rounded half up in integers.  Sizes past the last unit stay in it.
+    """
+    size = size.cast("bigint")
     chain = F.when(F.coalesce(size, F.lit(0)) <= 0, F.lit("0 B"))
     for power, unit in reversed(list(enumerate(BYTE_UNITS))):
-        scaled = F.round(size.cast("double") / float(1024**power), 1)
-        label = F.concat(F.regexp_replace(F.format_string("%.1f", scaled), r"\.0$", ""), F.lit(f" {unit}"))
-        chain = chain.when(size >= 1024**power, label)
-    return chain.otherwise(F.concat(size.cast("string"), F.lit(" B")))
+        one = F.lit(1024**power).cast("bigint")
+        tenths = F.call_function("div", size * 20 + one, one * 2)
+        digit = F.pmod(tenths, F.lit(10))
+        text = F.concat(
+            F.call_function("div", tenths, F.lit(10).cast("bigint")).cast("string"),
+            F.when(digit > 0, F.concat(F.lit("."), digit.cast("string"))).otherwise(F.lit("")),
+            F.lit(f" {unit}"),
+        )
+        chain = chain.when(size >= one, text)
+    return chain
 
 
 def duplicates_shown(bronze_rows: Column, silver_rows: Column) -> Column:

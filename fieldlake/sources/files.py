@@ -69,7 +69,8 @@ def _with_keys(files: DataFrame, root: str) -> DataFrame:
     """Add the object key (path below ``root``) and its instrument (first folder)."""
     tail = root.split("://")[-1].split(":", 1)[-1].strip("/") + "/"
     key = F.substring("path", F.instr("path", tail) + len(tail), F.length("path"))
-    return files.withColumn("object_key", key).withColumn("instrument_id", F.substring_index("object_key", "/", 1))
+    folder = F.substring_index("object_key", "/", 1)
+    return files.withColumn("object_key", key).withColumn("instrument_id", F.regexp_replace(folder, "^instrument_id=", ""))
 
 
 def _bronze_pattern(root: str) -> str:
