@@ -61,6 +61,10 @@ def _span(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(empty)
 
 
+def _at_level(level: int):
+    return lambda cell: F.struct(F.lit(level).alias("level"), cell.alias("cell"))
+
+
 def _cover(first: Column, last: Column) -> Column:
     """Disjoint cells that together hold exactly the days ``first`` to ``last``.
 
@@ -79,7 +83,7 @@ def _cover(first: Column, last: Column) -> Column:
             days = F.when(whole, edges).otherwise(_span(low, high))
             # An empty span ends the climb.
             low, high = F.when(whole, inner_low).otherwise(F.lit(1)), F.when(whole, inner_high).otherwise(F.lit(0))
-        pieces.append(F.transform(days, lambda cell, lv=level: F.struct(F.lit(lv).alias("level"), cell.alias("cell"))))
+        pieces.append(F.transform(days, _at_level(level)))
     return F.concat(*pieces)
 
 

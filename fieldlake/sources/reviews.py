@@ -44,7 +44,7 @@ def read_review_items(spark: SparkSession, path: str, documents: bool = False) -
         .option("multiLine", documents)
         .option("recursiveFileLookup", documents)
     )
-    items = reader.json(path).filter(F.col(_CORRUPT).isNull() & F.col("instrument_id").isNotNull())
+    items = reader.json(path).filter(F.col(_CORRUPT).isNull() & F.col("id").isNotNull())
     file = F.col("_metadata.file_path")
     key = file if documents else F.concat_ws("#", file, F.col("id"))
     return items.select(*[F.col(c) for c in COLUMNS], key.alias("_s3_key"))
