@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.functions.display import changed_values
 from fieldlake.functions.rules import RuleSet
-from fieldlake.functions.times import datetime_for_compare
+from fieldlake.functions.times import with_times
 
 ROW = ["instrument_id", "row_key"]
 ITEM_KEY = "_s3_key"
@@ -91,12 +91,9 @@ def range_items(items: DataFrame) -> DataFrame:
     """Active range items with parsed bounds ``_from`` and ``_to`` (null = open)."""
     start = F.coalesce(F.nullif(F.col("start_time"), F.lit("")), F.col("start"))
     end = F.coalesce(F.nullif(F.col("end_time"), F.lit("")), F.col("end"))
-    return (
-        active_items(items)
-        .filter(F.col("scope") == TIME_RANGE)
-        .withColumn("_from", datetime_for_compare(start))
-        .withColumn("_to", datetime_for_compare(end))
-    )
+    ranges = active_items(items).filter(F.col("scope") == TIME_RANGE)
+    timed = with_times(ranges.withColumn("_start", start), "_start", compare="_from")
+    return with_times(timed.withColumn("_end", end), "_end", compare="_to").drop("_start", "_end")
 
 
 def match_by_time_range(rows: DataFrame, items: DataFrame, ts: str = "ts", salt: int = SALT) -> DataFrame:
