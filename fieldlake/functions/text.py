@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ WHITESPACE = (
     "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 BYTE_ORDER_MARK = "\ufeff"
 COMMENT_MARKS = ("%", "#")
 MAX_CSV_FIELD_CHARS = 131072
@@ -65,10 +68,21 @@ def is_float(c: Column) -> Column:
     return F.coalesce(c.rlike(FLOAT_PATTERN), F.lit(False))
 
 
+def _contains_any(c: Column, marks: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(mark)) for mark in marks])
+
+
 def split_lines(c: Column) -> Column:
-    """Text to lines; a final line break does not open another line."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    """Text to lines; a final line break does not open another line.
+
+    Plain ``\\n`` text, nearly all of it, is cut at that one character; the
+    pattern for the rarer separators only runs where a byte search finds one.
+    """
+    last = F.right(c, F.lit(1))
+    shorter = F.length(c) - F.when(F.endswith(c, F.lit("\r\n")), F.lit(2)).otherwise(F.lit(1))
+    body = F.when(last.isin("\n", *RARE_BREAKS), F.substring(c, F.lit(1), shorter)).otherwise(c)
+    cut = F.when(_contains_any(c, RARE_BREAKS), F.split(body, LINE_BREAK)).otherwise(F.split(body, "\n"))
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(cut)
 
 
 def decode_bytes(c: Column) -> Column:
@@ -136,18 +150,20 @@ def raw_fields(line: Column) -> Column:
         F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CSV_FIELD), F.lit(1)), _unquote
     )
     by_fold = F.transform(_fold_quoted(line), _unquote_tail_aware)
+    # A quote only matters where a field starts with it.
+    quoted = F.startswith(line, F.lit('"')) | F.contains(line, F.lit(',"'))
     csv = (
         F.when(line == "", F.array().cast("array<string>"))
-        .when(quotes == 0, F.split(line, ","))
+        .when(~quoted, F.split(line, ","))
         .when(quotes <= _REGEX_QUOTE_LIMIT, by_pattern)
         .otherwise(by_fold)
     )
     # A field over the size limit makes the whole line unreadable as CSV.
     checked = F.when(
-        (F.length(line) > MAX_CSV_FIELD_CHARS) & F.exists(csv, lambda f: F.length(f) > MAX_CSV_FIELD_CHARS),
+        (F.octet_length(line) > MAX_CSV_FIELD_CHARS) & F.exists(csv, lambda f: F.length(f) > MAX_CSV_FIELD_CHARS),
         F.array().cast("array<string>"),
     ).otherwise(csv)
-    return F.when(F.instr(line, "\t") > 0, F.split(line, "\t")).otherwise(checked)
+    return F.when(F.contains(line, F.lit("\t")), F.split(line, "\t")).otherwise(checked)
 
 
 def split_fields(line: Column) -> Column:

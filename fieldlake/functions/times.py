@@ -87,9 +87,10 @@ def _wall_clock(text: Column, parts: Column, zone: Column, date_order: str) -> C
     month_first = F.when(~text.rlike(_HAS_FRACTION), _ntz(padded))
     either = (day_first, month_first) if date_order == "dmy" else (month_first, day_first)
     iso = F.when(parts.isNotNull(), _iso_wall_clock(parts, zone))
+    slashed = F.contains(text, F.lit("/"))
     return (
-        F.when(text.rlike(DAY_OR_MONTH_FIRST), F.coalesce(*either))
-        .when(text.rlike(YEAR_FIRST_SLASH), _ntz(F.regexp_replace(text, YEAR_FIRST_SLASH, "$1-$2-$3 $4")))
+        F.when(slashed & text.rlike(DAY_OR_MONTH_FIRST), F.coalesce(*either))
+        .when(slashed & text.rlike(YEAR_FIRST_SLASH), _ntz(F.regexp_replace(text, YEAR_FIRST_SLASH, "$1-$2-$3 $4")))
         .otherwise(F.coalesce(iso, F.when(text.rlike(YEAR_FIRST_DASH), _ntz(spaced))))
     )
 

@@ -15,6 +15,8 @@ from fieldlake.session import stage
 
 GROUP = "instrument_id"
 OBJECT = [GROUP, "object_key"]
+# Most header objects that are looked up by a literal key filter.
+MAX_KEY_FILTER = 2000
 
 
 def _count_if(condition: Column) -> Column:
@@ -67,6 +69,9 @@ def recover_header(lines: DataFrame, stats: DataFrame | None = None, settle: boo
     )
     if settle:
         chosen = stage(chosen, "header-objects")
+        keys = chosen.select("object_key").limit(MAX_KEY_FILTER + 1).collect()
+        if len(keys) <= MAX_KEY_FILTER:
+            lines = lines.filter(F.col("object_key").isin(*{r.object_key for r in keys}))
     in_chosen = lines.join(chosen, OBJECT).filter(F.col("pos") >= F.col("first_other_pos"))
     first_data = in_chosen.filter("is_data").groupBy(*OBJECT).agg(F.min("pos").alias("_data_pos"))
     return (

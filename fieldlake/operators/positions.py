@@ -36,10 +36,11 @@ def assign_source_index(
     blocks = _with_block(df, pos, block_rows)
     key = [group, object_key, "_block"]
     counted = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    # Two running sums: blocks inside an object, then objects inside a group.
+    # Two running sums over the block table: blocks inside an object, then
+    # objects inside a group.
+    objects = counted.groupBy(group, object_key).agg(F.sum("_rows").alias("_object_rows"))
     inside = Window.partitionBy(group, object_key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("_in_object", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
-    objects = blocks.groupBy(group, object_key).agg(F.count(F.lit(1)).alias("_object_rows"))
     before = Window.partitionBy(group).orderBy(object_key).rowsBetween(Window.unboundedPreceding, -1)
     objects = objects.select(
         group, object_key, F.coalesce(F.sum("_object_rows").over(before), F.lit(0)).alias("_before_object")
