@@ -61,30 +61,35 @@ def _span(low: Column, high: Column) -> Column:
     return F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(empty)
 
 
-def _at_level(level: int):
-    return lambda cell: F.struct(F.lit(level).alias("level"), cell.alias("cell"))
-
-
-def _cover(first: Column, last: Column) -> Column:
-    """Disjoint cells that together hold exactly the days ``first`` to ``last``.
+def _with_cells(ranges: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Add ``_cell``: one row per cell of a cover of the days ``first`` to ``last``.
 
-    Days that fill a whole cell of the next level move up to it, so any range,
-    an open one included, needs at most a few hundred cells.
+    The cells are disjoint and hold exactly those days.  Days that fill a whole
+    cell of the next level move up to it, so any range, an open one included,
+    needs at most a few hundred cells.  Each level is a column of its own, which
+    keeps the expressions short.
     """
-    pieces, low, high = [], first, last
+    df = ranges.withColumns({"_low": first.cast("bigint"), "_high": last.cast("bigint")})
+    low, high = F.col("_low"), F.col("_high")
+    levels = []
     for level in range(_LEVELS):
+        days = f"_days{level}"
+        levels.append(days)
         if level == _LEVELS - 1:
-            days = _span(low, high)
-        else:
-            inner_low = F.ceil(low / _FAN_OUT)
-            inner_high = F.floor((high + 1) / _FAN_OUT) - 1
-            whole = inner_low <= inner_high
-            edges = F.concat(_span(low, inner_low * _FAN_OUT - 1), _span((inner_high + 1) * _FAN_OUT, high))
-            days = F.when(whole, edges).otherwise(_span(low, high))
-            # An empty span ends the climb.
-            low, high = F.when(whole, inner_low).otherwise(F.lit(1)), F.when(whole, inner_high).otherwise(F.lit(0))
-        pieces.append(F.transform(days, _at_level(level)))
-    return F.concat(*pieces)
+            df = df.withColumn(days, _span(low, high))
+            break
+        df = df.withColumns({"_up": F.ceil(low / _FAN_OUT), "_down": F.floor((high + 1) / _FAN_OUT) - 1})
+        up, down = F.col("_up"), F.col("_down")
+        edges = F.concat(_span(low, up * _FAN_OUT - 1), _span((down + 1) * _FAN_OUT, high))
+        df = df.withColumn(days, F.when(up <= down, edges).otherwise(_span(low, high)))
+        # An empty span ends the climb.
+        df = df.withColumns({"_low": F.when(up <= down, up).otherwise(1), "_high": F.when(up <= down, down).otherwise(0)})
+    cells = F.concat(*[F.transform(F.col(days), _at_level(level)) for level, days in enumerate(levels)])
+    return df.withColumn("_cell", F.explode(cells)).drop("_low", "_high", "_up", "_down", *levels)
+
+
+def _at_level(level: int):
+    return lambda cell: F.struct(F.lit(level).alias("level"), cell.alias("cell"))
 
 
 def range_items(items: DataFrame) -> DataFrame:
@@ -104,12 +109,11 @@ def match_by_time_range(rows: DataFrame, items: DataFrame, ts: str = "ts", salt:
     the exact bounds are tested on what meets.  A pair can meet in one cell only.
     Cells are salted by row so that a busy instrument or day is spread out.
     """
+    ranges = range_items(items).select("instrument_id", ITEM_KEY, _item(items).alias("item"), "_from", "_to")
+    first = F.coalesce(_day(F.col("_from")), F.lit(_FIRST_DAY))
+    last = F.coalesce(_day(F.col("_to")), F.lit(_LAST_DAY))
     cells = (
-        range_items(items)
-        .select("instrument_id", ITEM_KEY, _item(items).alias("item"), "_from", "_to")
-        .withColumn("_first", F.coalesce(_day(F.col("_from")), F.lit(_FIRST_DAY)).cast("bigint"))
-        .withColumn("_last", F.coalesce(_day(F.col("_to")), F.lit(_LAST_DAY)).cast("bigint"))
-        .withColumn("_cell", F.explode(_cover(F.col("_first"), F.col("_last"))))
+        _with_cells(ranges, first, last)
         .withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salt)])))
         .select(
             "instrument_id", "_salt", F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_slot"),

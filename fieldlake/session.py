@@ -19,6 +19,10 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
+# Set when a session is built: capturing the Python call site of every Column
+# costs milliseconds per expression, seconds for the larger queries.
+BUILD_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 _local_scratch: dict[str, str] = {}
 
 
@@ -34,7 +38,7 @@ def create_session(app_name: str = "fieldlake", master: str | None = None, **ext
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **extra}.items():
+    for key, value in {**SQL_SETTINGS, **BUILD_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
