@@ -33,19 +33,34 @@ _QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)(?:"([^,]*+))?$'
 _REGEX_QUOTE_LIMIT = 400
 
 
+def _edges_hold(c: Column, front: str, back: str) -> Column:
+    """Does ``c`` start or end with one of these characters (or is it empty)?
+
+    A look at the two outer characters; trimming itself walks the whole text.
+    """
+    return F.contains(F.lit(front), F.substring(c, 1, 1)) | F.contains(F.lit(back), F.substring(c, -1, 1))
+
+
+def _trim(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITESPACE))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing whitespace of any kind."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    return F.when(_edges_hold(c, WHITESPACE, WHITESPACE), _trim(c)).otherwise(c)
 
 
 def strip_bom(c: Column) -> Column:
     """Strip whitespace, then any byte order marks in front."""
-    return F.ltrim(strip(c), F.lit(BYTE_ORDER_MARK))
+    touched = _edges_hold(c, WHITESPACE + BYTE_ORDER_MARK, WHITESPACE)
+    return F.when(touched, F.ltrim(_trim(c), F.lit(BYTE_ORDER_MARK))).otherwise(c)
 
 
 def clean_field(c: Column) -> Column:
     """Bare value of one field: no outer whitespace, order mark or quotes."""
-    return strip(F.btrim(strip_bom(c), F.lit('"')))
+    touched = _edges_hold(c, WHITESPACE + BYTE_ORDER_MARK + '"', WHITESPACE + '"')
+    bare = _trim(F.btrim(F.ltrim(_trim(c), F.lit(BYTE_ORDER_MARK)), F.lit('"')))
+    return F.when(touched, bare).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:
