@@ -11,6 +11,7 @@ from fieldlake.catalog.standins import (
 from fieldlake.functions.rules import classify_lines
 from fieldlake.operators import consolidate as cs
 from fieldlake.operators import positions
+from fieldlake.session import stage
 
 
 @query("previous_nondata_line", f"WITH {CL} SELECT object_key, pos, previous_nondata FROM prev")
@@ -35,7 +36,9 @@ def recover_header(spark, sf):
     SELECT instrument_id, row_number() OVER (PARTITION BY instrument_id ORDER BY object_key, pos) - 1 AS seq, line FROM firsts""",
 )
 def collect_preamble(spark, sf):
-    return cs.collect_preamble(classified_documents(spark, sf))
+    # Staged, because numbering reads the distinct lines twice.
+    other = cs.distinct_lines(classified_documents(spark, sf).filter(~F.col("is_data")))
+    return cs.number_preamble(stage(other, "preamble-lines"))
 
 
 @query("dedup_keep_first", f"WITH {DD} SELECT instrument_id, object_key, pos, line, copies FROM dd")
@@ -60,7 +63,7 @@ def first_occurrence(spark, sf):
       row_number() OVER (PARTITION BY instrument_id ORDER BY object_key, pos) - 1 AS source_index FROM dd""",
 )
 def assign_source_index(spark, sf):
-    distinct = cs.dedup_keep_first(classified_documents(spark, sf))
+    distinct = stage(cs.dedup_keep_first(classified_documents(spark, sf)).drop("line", "copies"), "keep-first")
     return positions.assign_source_index(distinct).select("instrument_id", "object_key", "pos", "source_index")
 
 
