@@ -33,8 +33,13 @@ def write_partitions(df: DataFrame, path: str) -> None:
 
 
 def read_silver(spark: SparkSession, path: str, instrument_id: str | None = None) -> DataFrame:
-    """Silver rows; the instrument prunes partitions, ``ts`` bounds reach the scan."""
-    rows = spark.read.schema(SILVER_SCHEMA).parquet(f"{path}/rows")
+    """Silver rows; the instrument prunes partitions, ``ts`` bounds reach the scan.
+
+    Only instruments whose last build kept rows are shown, so rows of an earlier
+    build do not outlive a rebuild that found none.
+    """
+    live = read_silver_stats(spark, path).filter("data_rows_unique > 0").select("instrument_id")
+    rows = spark.read.schema(SILVER_SCHEMA).parquet(f"{path}/rows").join(live, "instrument_id", "left_semi")
     return rows if instrument_id is None else rows.filter(F.col("instrument_id") == instrument_id)
 
 

@@ -100,6 +100,16 @@ def test_rebuild_is_idempotent_and_leaves_other_instruments(spark, lake):
     assert tuple(idle) == ("none", 0, 0, 0, 0, False)
 
 
+def test_a_rebuild_without_data_rows_empties_the_instrument(spark, tmp_path):
+    path = str(tmp_path / "silver")
+    lines = spark.sql("select 'CO2-LICOR' instrument_id, 'k' object_key, 0L pos, '2026-4-1\\t1:0:0\\t4' line")
+    build_silver(lines, RuleSet(), path)
+    assert silver.read_silver(spark, path).count() == 1
+    result = build_silver(lines.withColumn("line", F.lit("note")), RuleSet(), path).first()
+    assert tuple(result) == ("CO2-LICOR", 1, 0, 0, 0, True)
+    assert silver.read_silver(spark, path).count() == 0
+
+
 def test_browse_pages_filters_and_reviews(spark, lake):
     table = silver.read_silver(spark, lake["path"])
     keys = [r.row_key for r in rows_of(spark, lake, "NO2-CAPS")]
