@@ -37,16 +37,14 @@ def event_line() -> Column:
 
 # A data line of an event log: five fields, a number, a time, a number, a float.
 EVENT_RULES = RuleSet(
-    [
-        InstrumentRule(
-            event_type,
-            min_fields=5,
-            patterns={0: r"^[0-9]+$", 1: r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", 2: r"^[0-9]+$"},
-            floats=(3,),
-            timestamp_columns=("Timestamp",),
-        )
-        for event_type in EVENT_TYPES
-    ]
+    [],
+    default=InstrumentRule(
+        "*",
+        min_fields=5,
+        patterns={0: r"^[0-9]+$", 1: r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", 2: r"^[0-9]+$"},
+        floats=(3,),
+        timestamp_columns=("Timestamp",),
+    ),
 )
 # A data line of a text: at least two comma-separated pieces, a capital first.
 DOCUMENT_RULES = RuleSet([], default=InstrumentRule("*", min_fields=2, patterns={0: "^[A-Z]"}))
