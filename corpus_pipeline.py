@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlake.session import stage
+from fieldlake.llm.staging import stage
 
 STAGES: list = []
 

@@ -10,12 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+from fieldlake.llm.staging import bounded_batches
+
+SLICE_BYTES = 1 << 20
 """UTF-8 bytes of text that one vectorised step works on; one longer text is a step of its own."""
 
 
 def keyed_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` of any frame: other columns go, a null text counts as empty."""
+    bounded_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -26,7 +26,7 @@ from fieldlake.llm.pieces import split
 
 NONE = np.int32(2**31 - 1)
 CACHE_PIECES = 800_000
-MATRIX_CELLS = 1 << 19
+MATRIX_CELLS = 1 << 18
 BLOCK = 1024
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from fieldlake.llm.arrow import keyed_text, ragged, slices, spans
 from fieldlake.llm.bpe import encoder_of, share_vocabulary
 from fieldlake.llm.pieces import mix
-from fieldlake.session import stage
+from fieldlake.llm.staging import stage
 
 SEQUENCE = 2048
 END_ID = 1
