@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlake.llm import bpe, language, pack
+from fieldlake.llm import bpe, language, pack, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +49,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(documents.where(F.col("doc_id").isNotNull() & ~language.held_out()))
     found = language.identify(documents, model)
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: three-word shingles, at most three differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
