@@ -68,7 +68,7 @@ def split(texts: list[str]) -> Pieces:
     real = kind[begin] != END
     begin, end = begin[real], end[real]
     per_text = np.diff(np.searchsorted(begin, marks), prepend=0)
-    return Pieces(joined, begin, end, per_text, _hashes(points, begin, end))
+    return Pieces(joined, begin, end, per_text, mix(run_hashes(points, begin, end)))
 
 
 def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> None:
@@ -88,14 +88,13 @@ def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> No
         first[rest[rest < len(first)]] = True
 
 
-def _hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece's code points, the same wherever the piece stands."""
-    powers, inverse = _powers(len(points) + 1)
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each run of values, the same wherever the run stands; to be mixed before use."""
+    powers, inverse = _powers(len(values) + 1)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(points) + 1, dtype=np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        value = (sums[end] - sums[begin]) * inverse[begin]
-        return mix(value ^ (end - begin).astype(np.uint64) << np.uint64(40))
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
+        return (sums[end] - sums[begin]) * inverse[begin] ^ (end - begin).astype(np.uint64) << np.uint64(40)
 
 
 _power_cache: list[np.ndarray] = []
