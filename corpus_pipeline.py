@@ -1,14 +1,51 @@
-"""The corpus pipeline: stages over ``documents``, each calling one of the operators."""
+"""The corpus pipeline: stages over ``documents``, each calling one of the operators.
+
+Every stage works on all rows that its predecessor kept.  All but the last
+return the columns of ``documents``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from fieldlake.llm import language, pack, repeats, simhash
 from fieldlake.llm.staging import stage
 
-STAGES: list = []
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit on the rows that have a language; documents that the model rejects go."""
+    model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
+    return language.keep_identified(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash class stays: three-word shingles, at most three differing bits."""
+    return simhash.keep_one(docs, shingle=3, max_distance=3)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes and more that an earlier document has are cut out of the texts."""
+    cut = repeats.without_repeats(docs)
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 2048 tokens along the curve."""
+    return pack.pack(docs, VOCABULARY)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("packing", pack_sequences),
+]
 
-ORACLE_SQL = None  # SQL expresses none of the stages; tests hold them against brute force
+ORACLE_SQL = None  # SQL expresses none of the stages; tests hold each against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

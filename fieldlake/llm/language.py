@@ -29,6 +29,8 @@ SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 128, 2000, 1 << 16
 LEVEL, CHUNK_BYTES = 6, 2048
 MIN_MARGIN = 0.001
 UNKNOWN = "und"
+CARRIER = bytes(np.random.default_rng(1).integers(33, 64, 512, dtype=np.uint8))
+"""Signs without letters that go before every text: a block that is compressed anyway shows differences of a few bytes, which a block of two words on its own does not."""
 
 _NO_LETTERS = regex.compile(r"\P{L}+")
 
@@ -55,15 +57,17 @@ class LanguageModel:
         return {"content": self.content, "level": self.level, "_ready": []}
 
     def sizes(self, text: bytes) -> np.ndarray:
-        """Compressed bytes of the whole text under each language, in name order."""
+        """Compressed bytes of the whole text under each language, in name order, less those of the carrier alone."""
         if not self._ready:
             for name in sorted(self.content):
                 shared = zstandard.ZstdCompressionDict(self.content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 shared.precompute_compress(level=self.level)
-                self._ready.append(zstandard.ZstdCompressor(dict_data=shared, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False))
+                press = zstandard.ZstdCompressor(dict_data=shared, level=self.level, write_content_size=False, write_checksum=False, write_dict_id=False)
+                self._ready.append((press, len(press.compress(CARRIER + b" "))))
         # a chunk starts from the dictionary alone, so that a long text does not drown it
+        text = CARRIER + b" " + text + b" "
         chunks = [text[i : i + CHUNK_BYTES] for i in range(0, len(text), CHUNK_BYTES)]
-        return np.array([sum(len(c.compress(x)) for x in chunks) for c in self._ready], dtype=np.int64)
+        return np.array([max(1, sum(len(c.compress(x)) for x in chunks) - alone) for c, alone in self._ready], dtype=np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Best language and margin in 0 to 1; ``und`` and 0 without a letter or without languages."""

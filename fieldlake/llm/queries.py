@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlake.llm import bpe, html_text, language, licences, minhash, neighbours, pack, repeats, simhash
+from fieldlake.llm import bpe, html_text, language, licences, lm, minhash, neighbours, pack, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every vector whose id is divisible by 20."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document against all others."""
+    return lm.score(table(spark, sf_dir, "documents"))
