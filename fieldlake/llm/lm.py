@@ -64,6 +64,17 @@ def bucketed(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(grams ^ BIGRAM) % np.uint64(buckets)).astype(np.int64)
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as compressed bytes; like bytes stand together, so that small and near numbers take little room."""
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in _gathered(batches):
@@ -96,12 +107,12 @@ def _texts(packed: bytes, sizes: list[int]) -> list[bytes]:
 
 def _counted(table: pa.Table) -> pa.Table:
     """A bucket of the count table: totals of its n-grams over all blocks, joined to each block's entries."""
-    grams = [np.frombuffer(g, dtype="<u8") for g in table.column("grams").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, dtype="<u4") for c in table.column("counts").to_pylist()])
+    grams = [np.cumsum(unsqueeze(g), dtype=np.uint64) for g in table.column("grams").to_pylist()]
+    counts = np.concatenate([unsqueeze(c) for c in table.column("counts").to_pylist()])
     _, back = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(back, weights=counts).astype("<u8")[back]
+    totals = np.bincount(back, weights=counts).astype(np.uint64)[back]
     ends = np.cumsum([len(g) for g in grams])
-    out = [t.tobytes() for t in np.split(totals, ends[:-1])]
+    out = [squeeze(t) for t in np.split(totals, ends[:-1])]
     return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "totals"])
 
 
@@ -127,7 +138,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff
                 order = np.argsort(bucket, kind="stable")
                 used, begin = np.unique(bucket[order], return_index=True)
                 parts = zip(np.split(grams[order], begin[1:]), np.split(counts[order], begin[1:]), strict=True) if len(used) else []
-                data = [(g.astype("<u8").tobytes(), c.astype("<u4").tobytes()) for g, c in parts]
+                data = [(squeeze(np.diff(g, prepend=np.uint64(0))), squeeze(c)) for g, c in parts]
                 columns = [pa.array(used, pa.int64()), pa.array([block] * len(used), pa.int64()), pa.array([g for g, _ in data], pa.binary()), pa.array([c for _, c in data], pa.binary())]
                 yield pa.record_batch(columns, names=["bucket", "block", "grams", "counts"])
 
@@ -149,7 +160,7 @@ def _scored(ids: list, blobs: list[bytes], answers: list[dict], buckets: int, wo
     grams, _ = entries(words, pairs, first)
     bucket, totals = bucketed(grams, buckets), np.zeros(len(grams), dtype=np.float64)
     for answer in answers:
-        totals[bucket == answer["bucket"]] = np.frombuffer(answer["totals"], dtype="<u8")
+        totals[bucket == answer["bucket"]] = unsqueeze(answer["totals"])
     n = np.bincount(text, minlength=len(blobs))
 
     def others(where: np.ndarray, hashes: np.ndarray) -> np.ndarray:
