@@ -1,5 +1,3 @@
-import random
-
 from pyspark.sql import functions as F
 
 from fieldlake.functions.rules import InstrumentRule, RuleSet, classify_lines
@@ -9,71 +7,68 @@ from fieldlake.operators import paging, positions
 RULES = RuleSet([], default=InstrumentRule("*", 1, patterns={0: "^d"}))
 
 
-def random_lines(seed, n=600):
-    rng = random.Random(seed)
-    lines, seen = [], set()
-    while len(lines) < n:
-        spot = (rng.choice("AAAB"), rng.choice(["o1", "o10", "o2", "z"]), rng.randrange(0, 900))
-        if spot in seen:
-            continue
-        seen.add(spot)
-        text = rng.choice(["d", "d", "h", " ", "# c"])
-        lines.append((*spot, text if text in (" ", "# c") else f"{text}{rng.randrange(0, 60)}"))
-    return lines
-
-
 def build(spark, lines):
     df = spark.createDataFrame(lines, "instrument_id string, object_key string, pos bigint, line string")
     return classify_lines(df, RULES)
 
 
-def by_object(lines):
-    objects = {}
-    for instrument, key, pos, line in sorted(lines):
-        objects.setdefault((instrument, key), []).append((pos, line))
-    return objects
-
-
-def brute_silver(lines):
-    """Plain sequential consolidation of one pass over the sorted lines."""
-    out = {}
-    for (instrument, key), rows in by_object(lines).items():
-        state = out.setdefault(instrument, {"header": None, "data": {}, "other": {}, "total": 0})
-        last = None
-        for pos, line in rows:
-            if line.startswith("d"):
-                if state["header"] is None and last is not None:
-                    state["header"] = last
-                state["total"] += 1
-                state["data"].setdefault(line, (key, pos))
-            elif line.strip():
-                last = line
-                state["other"].setdefault(line, (key, pos))
-    return out
-
-
-def test_consolidation_against_brute_force(spark):
-    for seed in (1, 2):
-        lines = random_lines(seed)
-        df, want = build(spark, lines), brute_silver(lines)
-        header = {r.instrument_id: r.line for r in cs.recover_header(df).collect()}
-        assert header == {i: s["header"] for i, s in want.items() if s["header"] is not None}
-        kept = cs.dedup_keep_first(df)
-        indexed = positions.assign_source_index(kept, block_rows=37)
-        got = {}
-        for r in indexed.collect():
-            got.setdefault(r.instrument_id, {})[r.source_index] = (r.line, (r.object_key, r.pos))
-        for i, s in want.items():
-            assert [got[i][n] for n in range(len(got[i]))] == list(s["data"].items())
+# A small lake, and what consolidation makes of it.
+LAKE = [
+    ("A", "o1", 0, "h-start"), ("A", "o1", 5, "# note"), ("A", "o1", 9, "d1"), ("A", "o1", 12, "d2"), ("A", "o1", 15, "d1"),
+    ("A", "o10", 0, "h-later"), ("A", "o10", 4, "d3"), ("A", "o10", 7, "d2"),
+    ("A", "o2", 0, " "), ("A", "o2", 2, "d4"), ("A", "o2", 6, "h-start"), ("A", "o2", 8, "d1"),
+    ("B", "o1", 0, "d1"), ("B", "o1", 3, "h-b"), ("B", "o1", 6, " "), ("B", "o1", 8, "d9"),
+    ("B", "z", 0, "d9"), ("B", "z", 3, "d1"), ("B", "z", 6, "d0"),
+    ("C", "only", 0, "h-c"), ("C", "only", 4, "# c"), ("C", "only", 8, "h-c"),
+]
+KEPT = {
+    "A": [("d1", "o1", 9), ("d2", "o1", 12), ("d3", "o10", 4), ("d4", "o2", 2)],
+    "B": [("d1", "o1", 0), ("d9", "o1", 8), ("d0", "z", 6)],
+}
+HEADERS = {"A": "# note", "B": "h-b"}
+PREAMBLES = {"A": ["h-start", "# note", "h-later"], "B": ["h-b"], "C": ["h-c", "# c"]}
+COUNTS = {"A": (3, 7, 4, 3), "B": (2, 5, 3, 2)}  # objects, data lines, kept, repeated
+PREVIOUS = {
+    ("A", "o1"): [None, "h-start", "# note", "# note", "# note"], ("A", "o10"): [None, "h-later", "h-later"],
+    ("A", "o2"): [None, None, None, "h-start"], ("B", "o1"): [None, None, "h-b", "h-b"], ("B", "z"): [None] * 3,
+    ("C", "only"): [None, "h-c", "# c"],
+}
+
+
+def enlarged(copies):
+    """The lake with its data lines repeated in further objects: only the counts of repeated lines change."""
+    more = [(i, f"zz{n:03d}", pos, line) for n in range(copies) for i, _, pos, line in LAKE if line in ("d1", "d9") and i == "B"]
+    return LAKE + list(dict.fromkeys(more))
+
+
+def found_rows(df, block_rows):
+    rows = {}
+    for r in positions.assign_source_index(cs.dedup_keep_first(df), block_rows=block_rows).collect():
+        rows.setdefault(r.instrument_id, {})[r.source_index] = (r.line, r.object_key, r.pos)
+    return {i: [by_index[n] for n in range(len(by_index))] for i, by_index in rows.items()}
+
+
+def test_consolidation_of_a_small_lake(spark):
+    df = build(spark, LAKE)
+    assert {r.instrument_id: r.line for r in cs.recover_header(df).collect()} == HEADERS
+    for block_rows in (1, 3, 1000):
+        assert found_rows(df, block_rows) == KEPT
         preamble = {}
-        for r in cs.collect_preamble(df, block_rows=50).orderBy("seq").collect():
+        for r in cs.collect_preamble(df, block_rows=block_rows).orderBy("seq").collect():
             preamble.setdefault(r.instrument_id, []).append(r.line)
-        assert preamble == {i: list(s["other"]) for i, s in want.items()}
-        objects = df.select("instrument_id", "object_key").distinct()
-        stats = {r.instrument_id: tuple(r)[1:] for r in cs.silver_stats(kept, objects).collect()}
-        for i, s in want.items():
-            n_objects = len({k for a, k in by_object(lines) if a == i})
-            assert stats[i] == (n_objects, s["total"], len(s["data"]), s["total"] - len(s["data"]))
+        assert preamble == PREAMBLES
+    objects = df.select("instrument_id", "object_key").distinct()
+    stats = {r.instrument_id: tuple(r)[1:] for r in cs.silver_stats(cs.dedup_keep_first(df), objects).collect()}
+    assert {i: stats[i] for i in COUNTS} == COUNTS
+
+
+def test_repeats_in_later_objects_change_nothing_but_their_count(spark):
+    df = build(spark, enlarged(40))
+    assert found_rows(df, 7) == KEPT
+    objects = df.select("instrument_id", "object_key").distinct()
+    stats = {r.instrument_id: tuple(r)[1:] for r in cs.silver_stats(cs.dedup_keep_first(df), objects).collect()}
+    extra = len(enlarged(40)) - len(LAKE)
+    assert stats["A"] == COUNTS["A"] and stats["B"] == (42, 5 + extra, 3, 2 + extra)
 
 
 def test_header_needs_a_line_before_data_in_the_same_object(spark):
@@ -83,23 +78,18 @@ def test_header_needs_a_line_before_data_in_the_same_object(spark):
 
 
 def test_previous_nondata_line_crosses_blocks(spark):
-    lines = random_lines(5)
-    want = {}
-    for (i, k), rows in by_object(lines).items():
-        last = None
-        for pos, line in rows:
-            want[(i, k, pos)] = last
-            if not line.startswith("d") and line.strip():
-                last = line
-    got = positions.previous_nondata_line(build(spark, lines), block_rows=41)
-    assert {(r.instrument_id, r.object_key, r.pos): r.previous_nondata for r in got.collect()} == want
+    for block_rows in (1, 2, 41):
+        got = {}
+        for r in positions.previous_nondata_line(build(spark, LAKE), block_rows=block_rows).orderBy("instrument_id", "object_key", "pos").collect():
+            got.setdefault((r.instrument_id, r.object_key), []).append(r.previous_nondata)
+        assert got == PREVIOUS
 
 
 def test_first_occurrence_marks_one_row_per_line(spark):
-    lines = random_lines(6)
-    marked = cs.first_occurrence(build(spark, lines)).filter("is_first").collect()
-    want = {(i, *spot) for i, s in brute_silver(lines).items() for spot in s["data"].values()}
-    assert {(r.instrument_id, r.object_key, r.pos) for r in marked} == want
+    every = cs.first_occurrence(build(spark, LAKE)).collect()
+    marked = {(r.instrument_id, r.line, r.object_key, r.pos) for r in every if r.is_first}
+    assert marked == {(i, *row) for i, rows in KEPT.items() for row in rows}
+    assert len(every) == sum(line.startswith("d") for *_, line in LAKE)
 
 
 def test_pages_of_both_kinds_join_up_to_the_whole(spark):

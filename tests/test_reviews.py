@@ -20,84 +20,77 @@ def rows_df(spark, rows):
     return spark.createDataFrame(rows, "instrument_id string, row_key string, ts timestamp_ntz")
 
 
-def brute_force(rows, items):
-    pairs = set()
-    for instrument, key, ts in rows:
-        for item in items:
-            if item["instrument_id"] != instrument or item.get("status", "active") not in ("active", None):
-                continue
-            keys = set(item.get("row_keys") or [])
-            if item.get("row_key"):
-                keys.add(item["row_key"])
-            hit = key in keys
-            if not hit and item.get("scope") == "time_range" and ts is not None:
-                low, high = item.get("_low"), item.get("_high")
-                hit = (low is None or ts >= low) and (high is None or ts <= high)
-            if hit:
-                pairs.add((instrument, key, item["_s3_key"]))
-    return pairs
-
-
-def sample(seed, n_rows=400, n_items=120):
+def sample(seed, n_rows=300, n_items=120):
+    """Rows, items, and the (instrument, row key, item) links that the items are made from.
+
+    Every item starts from the rows that it shall meet: their keys, or the times
+    of the first and last row of a run in time order.
+    """
     rng = random.Random(seed)
-    rows = [
-        (rng.choice("AAAB"), f"k{i}", None if rng.random() < 0.05 else BASE + timedelta(seconds=rng.randrange(0, 400_000_000)))
-        for i in range(n_rows)
-    ]
-    rows += [("A", "early", datetime(1, 1, 1)), ("A", "late", datetime(9999, 12, 31, 23, 59, 59))]
-    items = []
+    rows, runs = [], {}
+    for instrument, share in (("A", 3), ("B", 1)):
+        seconds = sorted(rng.sample(range(400_000_000), n_rows * share // 4))
+        timed = [(instrument, f"{instrument}{k}", BASE + timedelta(seconds=t)) for k, t in enumerate(seconds)]
+        timed = [(instrument, f"{instrument}-early", datetime(1, 1, 1)), *timed, (instrument, f"{instrument}-late", datetime(9999, 12, 31, 23, 59, 59))]
+        runs[instrument] = timed
+        rows += timed + [(instrument, f"{instrument}-undated{k}", None) for k in range(8)]
+    items, links = [], set()
     for i in range(n_items):
-        item = {"_s3_key": f"{i:04d}", "id": str(i), "type": rng.choice(["flag", "correction"]), "instrument_id": rng.choice("AAAB"),
-                "created_at": f"{i:04d}", "status": rng.choice(["active", None, "inactive"])}
-        kind = rng.randrange(4)
-        if kind == 0:
-            item["row_keys"] = [f"k{rng.randrange(n_rows)}" for _ in range(rng.randrange(4))] + [None]
-            item["row_key"] = rng.choice(["", f"k{rng.randrange(n_rows)}"])
+        name, instrument = f"{i:04d}", rng.choice("AAB")
+        item = {"_s3_key": name, "id": str(i), "type": rng.choice(["flag", "correction"]), "instrument_id": instrument, "created_at": name, "status": rng.choice(["active", None, "inactive"])}
+        met = set()
+        if i % 4 == 0:
+            met = set(rng.sample([k for a, k, _ in rows if a == instrument], rng.randrange(4)))
+            item["row_keys"] = [*met, None, "unknown"]
+            if met and i % 8 == 0:
+                item["row_key"] = item["row_keys"].pop(0)
         else:
-            item["scope"] = "time_range"
-            low = BASE + timedelta(seconds=rng.randrange(0, 400_000_000))
-            high = low + timedelta(seconds=rng.choice([0, 60, 86400, 90 * 86400, 400 * 86400, 5000 * 86400]))
+            timed, item["scope"] = runs[instrument], "time_range"
+            first = rng.randrange(len(timed))
+            last = min(len(timed) - 1, first + rng.choice([0, 0, 1, 5, 60]))
+            low, high = timed[first][2].isoformat(), timed[last][2].isoformat() + "Z"
             if rng.random() < 0.15:
-                low = None
+                first, low = 0, rng.choice([None, "", "soon"])
             if rng.random() < 0.15:
-                high = None
-            item["_low"], item["_high"] = low, high
-            item["start_time"] = low.isoformat() if low else rng.choice([None, "", "soon"])
-            item["end" if rng.random() < 0.3 else "end_time"] = high.isoformat() + "Z" if high else rng.choice([None, "later"])
-            if kind == 3:
-                item["row_key"] = f"k{rng.randrange(n_rows)}"
+                last, high = len(timed) - 1, rng.choice([None, "later"])
+            item["start_time"], item["end" if rng.random() < 0.3 else "end_time"] = low, high
+            met = {k for _, k, _ in timed[first : last + 1]}
+            if i % 4 == 3:
+                item["row_key"] = f"{instrument}-undated{rng.randrange(8)}"
+                met.add(item["row_key"])
+        if item["status"] != "inactive":
+            links |= {(instrument, k, name) for k in met}
         items.append(item)
-    return rows, items
+    return rows, items, links
 
 
-def test_matching_against_brute_force(spark):
-    rows, items = sample(1)
+def test_matching_finds_the_links_that_items_are_made_from(spark):
+    rows, items, links = sample(1)
     got = rv.match_reviews(rows_df(spark, rows), items_df(spark, items)).select("instrument_id", "row_key", "_s3_key")
     got = [tuple(r) for r in got.collect()]
     assert len(got) == len(set(got))
-    assert set(got) == brute_force(rows, items)
+    assert set(got) == links
 
 
 def test_range_pairs_meet_once_and_split_rows_agree(spark):
-    rows, items = sample(2, n_items=60)
-    pairs = rv.match_by_time_range(rows_df(spark, rows), items_df(spark, items), salt=3).select("row_key", "_s3_key").collect()
+    rows, items, links = sample(2, n_items=60)
+    pairs = rv.match_by_time_range(rows_df(spark, rows), items_df(spark, items)).select("row_key", "_s3_key").collect()
     assert len(pairs) == len(set(pairs))
-    expected = {(i, k) for i, k, _ in brute_force(rows, items)}
+    linked = {(i, k) for i, k, _ in links}
     df, it = rows_df(spark, rows), items_df(spark, items)
     flagged = {tuple(r)[:2] for r in rv.flagged_rows(df, it).collect()}
     clean = {tuple(r)[:2] for r in rv.unflagged_rows(df, it).collect()}
-    assert flagged == expected
-    assert clean == {(i, k) for i, k, _ in rows} - expected
+    assert flagged == linked
+    assert clean == {(i, k) for i, k, _ in rows} - linked
 
 
 def test_attached_arrays_are_ordered_and_set_the_status(spark):
-    rows, items = sample(3, n_rows=80, n_items=60)
+    rows, items, links = sample(3, n_rows=80, n_items=60)
     kinds = {i["_s3_key"]: i["type"] for i in items}
-    expected = brute_force(rows, items)
     got = rv.attach_reviews(rows_df(spark, rows), items_df(spark, items)).collect()
     assert len(got) == len(rows)
     for row in got:
-        want = sorted(k for i, r, k in expected if (i, r) == (row.instrument_id, row.row_key))
+        want = sorted(k for i, r, k in links if (i, r) == (row.instrument_id, row.row_key))
         flags = [k for k in want if kinds[k] == "flag"]
         fixes = [k for k in want if kinds[k] == "correction"]
         assert [f["_s3_key"] for f in row.flags] == flags
