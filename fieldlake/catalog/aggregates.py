@@ -208,8 +208,10 @@ def uncommitted_batches(spark, sf):
     return totals.uncommitted_batches(ledger, ledger.filter("uploaded = 1")).select("id", "s3_key")
 
 
-def _offsets(spark, sf, status):
-    orders = table(spark, sf, "orders").filter(F.col("o_orderstatus") == status)
+def _offsets(spark, sf, local):
+    """Every order is an offset of one side: finished ones are local, all others remote."""
+    finished = F.col("o_orderstatus").eqNullSafe("F")
+    orders = table(spark, sf, "orders").filter(finished if local else ~finished)
     return orders.groupBy(F.col("o_orderpriority").alias("instrument_id"), F.col("o_custkey").cast("string").alias("file")).agg(
         F.max("o_orderkey").alias("offset")
     )
@@ -217,7 +219,7 @@ def _offsets(spark, sf, status):
 
 _OFFSETS = """
 loc AS (SELECT o_orderpriority AS instrument_id, o_custkey::VARCHAR AS file, max(o_orderkey) AS "offset" FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
-rem AS (SELECT o_orderpriority AS instrument_id, o_custkey::VARCHAR AS file, max(o_orderkey) AS "offset" FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2)"""
+rem AS (SELECT o_orderpriority AS instrument_id, o_custkey::VARCHAR AS file, max(o_orderkey) AS "offset" FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F' GROUP BY 1, 2)"""
 
 
 @query(
@@ -227,12 +229,12 @@ rem AS (SELECT o_orderpriority AS instrument_id, o_custkey::VARCHAR AS file, max
     FROM loc FULL JOIN rem USING (instrument_id, file)""",
 )
 def checkpoint_merge(spark, sf):
-    return offsets.checkpoint_merge(_offsets(spark, sf, "F"), _offsets(spark, sf, "O"))
+    return offsets.checkpoint_merge(_offsets(spark, sf, True), _offsets(spark, sf, False))
 
 
 @query("union_checkpoint_keys", f"WITH {_OFFSETS} SELECT instrument_id, file FROM loc UNION SELECT instrument_id, file FROM rem")
 def union_checkpoint_keys(spark, sf):
-    return offsets.checkpoint_keys(_offsets(spark, sf, "F"), _offsets(spark, sf, "O"))
+    return offsets.checkpoint_keys(_offsets(spark, sf, True), _offsets(spark, sf, False))
 
 
 @query(

@@ -20,6 +20,11 @@ def clamp_limit(limit: int | None) -> int:
     return min(max(int(limit or DEFAULT_LIMIT), 1), MAX_LIMIT)
 
 
+def page_size(limit: int | None) -> int:
+    """The operators take any size from 1; only a browse request has an upper bound."""
+    return max(int(limit or DEFAULT_LIMIT), 1)
+
+
 def clamp_cursor(cursor: int | None) -> int:
     return max(int(cursor or 0), 0)
 
@@ -69,7 +74,7 @@ def page(
     hold everything before the page, so blocks of the index are counted instead
     and only those that overlap the page are sorted.
     """
-    cursor, limit = clamp_cursor(cursor), clamp_limit(limit)
+    cursor, limit = clamp_cursor(cursor), page_size(limit)
     if cursor + limit <= top_k_depth:
         return in_order(rows, order, index).offset(cursor).limit(limit)
     blocks = rows.withColumn("_block", F.floor(F.col(index) / skip_block).cast("bigint"))
@@ -93,21 +98,21 @@ def page_after(rows: DataFrame, last_index: int | None, limit: int | None = None
     """Next page after a known index: a pushed-down bound instead of an offset."""
     if last_index is not None:
         rows = rows.filter(F.col(index) < last_index if order == "desc" else F.col(index) > last_index)
-    return in_order(rows, order, index).limit(clamp_limit(limit))
+    return in_order(rows, order, index).limit(page_size(limit))
 
 
 def latest_rows(rows: DataFrame, limit: int | None = None, index: str = "source_index") -> DataFrame:
-    return in_order(rows, "desc", index).limit(clamp_limit(limit))
+    return in_order(rows, "desc", index).limit(page_size(limit))
 
 
 def next_cursor(page_rows: DataFrame, cursor: int = 0, limit: int | None = None) -> DataFrame:
     """One row with the cursor of the next page, null when this one is not full."""
-    cursor, limit = clamp_cursor(cursor), clamp_limit(limit)
+    cursor, limit = clamp_cursor(cursor), page_size(limit)
     full = F.count(F.lit(1)) == limit
     return page_rows.agg(F.when(full, F.lit(cursor + limit).cast("bigint")).alias("next_cursor"))
 
 
 __all__ = [
-    "clamp_cursor", "clamp_limit", "in_order", "in_range", "latest_rows", "next_cursor", "page", "page_after",
+    "clamp_cursor", "clamp_limit", "in_order", "in_range", "latest_rows", "next_cursor", "page", "page_after", "page_size",
     "time_range_filter",
 ]

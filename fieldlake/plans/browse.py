@@ -41,7 +41,7 @@ def browse_records(
     spark = silver.sparkSession
     rows = silver.filter(F.col("instrument_id") == instrument_id)
     rows = paging.time_range_filter(rows, parse_bound(spark, start), parse_bound(spark, end))
-    page = paging.page(rows, cursor, limit, order)
+    page = paging.page(rows, cursor, paging.clamp_limit(limit), order)
     own = items.filter(F.col("instrument_id") == instrument_id)
     return paging.in_order(attach_reviews(page, own), order).select("instrument_id", *RECORD)
 
@@ -52,7 +52,7 @@ def browse_response(silver: DataFrame, headers: DataFrame, items: DataFrame, ins
     return {
         "columns": headers.filter(F.col("instrument_id") == instrument_id).select("columns"),
         "rows": rows,
-        "next_cursor": paging.next_cursor(rows, query.get("cursor", 0), query.get("limit")),
+        "next_cursor": paging.next_cursor(rows, query.get("cursor", 0), paging.clamp_limit(query.get("limit"))),
         "review_object_count": items.filter(F.col("instrument_id") == instrument_id).agg(
             F.count(F.lit(1)).alias("review_object_count")
         ),
