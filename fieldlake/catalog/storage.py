@@ -174,8 +174,8 @@ def write_bronze(spark, sf):
             F.col("pos").alias("range_start"), (F.col("pos") + 1).alias("range_end"), F.col("ts").alias("ingest_ts"),
         )
         # The second write of a batch replaces the first.
-        bronze.write_bronze(rows, path, 1)
-        bronze.write_bronze(rows, path, 1)
+        bronze.write_bronze(rows, path, "run", 1)
+        bronze.write_bronze(rows, path, "run", 1)
 
     path = once(spark, sf, "bronze", write)
     return bronze.read_bronze(spark, path).select("instrument_id", "year", "month", "pos", "line")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from fieldlake.catalog.registry import query
 from fieldlake.catalog.review import SUBMITTED, accepted_items
-from fieldlake.catalog.standins import EV, EVENT_RULES, EVENT_TYPES
+from fieldlake.catalog.standins import EV, EVENT_RULES, EVENT_TYPES, event_lines
 from fieldlake.catalog.storage import once, raw_files
-from fieldlake.session import scratch_path
+from fieldlake.session import scratch_path, stage
 from fieldlake.sources import bronze, reviews
 from fieldlake.sources.tail import tail_growing_files
 from fieldlake.streaming import ingest, silver
@@ -78,6 +78,29 @@ def exactly_once_landing(spark, sf):
     return lines.join(sizes, "instrument_id")
 
 
+@query("landing_after_checkpoint_loss", f"WITH {EV} SELECT instrument_id, line FROM ev")
+def landing_after_checkpoint_loss(spark, sf):
+    """Land some files, lose the checkpoints, land with new ones after files were added, and replay a batch: each line once."""
+    lines = event_lines(spark, sf)
+    early = F.coalesce(F.dayofmonth("ts") <= 15, F.lit(False))
+
+    def run(path):
+        found = sorted(r.instrument_id for r in lines.select("instrument_id").distinct().collect())
+        for name, part in (("first", early), ("second", ~early)):
+            added = lines.filter(part).select("instrument_id", "line")
+            added.write.mode("append").partitionBy("instrument_id").text(f"{path}/in")
+            for instrument in found:
+                pattern = f"{path}/in/instrument_id={instrument}/*.txt"
+                ingest.ingest_stream(spark, instrument, [pattern], path, f"{path}/checkpoints-{name}", EVENT_RULES).awaitTermination()
+        landed = bronze.read_bronze(spark, f"{path}/bronze")
+        run_id = ingest.checkpoint_id(spark, f"{path}/checkpoints-first/ingest/{found[0]}")
+        batch = stage(landed.filter((F.col("run_id") == run_id) & (F.col("batch_id") == 0)), "replayed")
+        bronze.write_bronze(batch, f"{path}/bronze", run_id, 0)
+
+    path = once(spark, sf, "landed-again", run)
+    return bronze.read_bronze(spark, f"{path}/bronze").select("instrument_id", "line")
+
+
 @query("streaming_silver", f"WITH {EV} SELECT instrument_id, line FROM ev UNION SELECT instrument_id, line FROM ev")
 def streaming_silver(spark, sf):
     """The landed files in one batch, the same lines again in a second one."""
@@ -87,7 +110,7 @@ def streaming_silver(spark, sf):
         both = f"{path}/bronze"
         first = bronze.read_bronze(spark, f"{lake}/bronze")
         for batch_id in (100, 200):
-            bronze.write_bronze(first.drop("batch_id"), both, batch_id)
+            bronze.write_bronze(first.drop("run_id", "batch_id"), both, "copy", batch_id)
             silver.streaming_silver(spark, both, f"{path}/lines", f"{path}/checkpoints", EVENT_RULES).awaitTermination()
 
     path = once(spark, sf, "streamed-silver", run)

@@ -9,32 +9,36 @@ from fieldlake.functions.text import sanitize_stem
 from fieldlake.functions.times import partition_columns
 from fieldlake.operators.consolidate import object_stats
 
-PARTITIONS = ["instrument_id", "year", "month", "batch_id"]
+PARTITIONS = ["instrument_id", "year", "month", "run_id", "batch_id"]
+# A batch number starts anew with each checkpoint; only with the run does it name a batch.
+BATCH = ["instrument_id", "run_id", "batch_id"]
 BRONZE_SCHEMA = (
     "object_key string, pos bigint, line string, source_file string, range_start bigint, range_end bigint, "
-    "ingest_ts timestamp_ntz, instrument_id string, year string, month string, batch_id bigint"
+    "ingest_ts timestamp_ntz, instrument_id string, year string, month string, run_id string, batch_id bigint"
 )
 
 BRONZE_COLUMNS = [part.split()[0] for part in BRONZE_SCHEMA.split(", ")]
 STATS_SCHEMA = (
     "object_key string, size bigint, modified_at timestamp_ntz, data_rows bigint, other_rows bigint, "
-    "first_data_pos bigint, last_data_pos bigint, first_other_pos bigint, instrument_id string, batch_id bigint"
+    "first_data_pos bigint, last_data_pos bigint, first_other_pos bigint, instrument_id string, run_id string, batch_id bigint"
 )
 STATS_COLUMNS = [part.split()[0] for part in STATS_SCHEMA.split(", ")]
 
 
-def object_key(instrument, source_file, start, end, ingest_ts):
-    """Deterministic key of one landed byte range.
+def object_key(instrument, source_file, start, end, ingest_ts, run_id, batch_id):
+    """Deterministic key of one byte range landed by one batch.
 
-    The file's stem, a digest of its full path and the byte range: two files of
-    one name, or two batches of one second, can not meet in one key.
+    The file's stem, a digest of its full path, the byte range, and the run and
+    batch that landed it: neither two files of one name, nor a file that was cut
+    and grew to the same end again, can meet in one key.  A batch that runs again
+    gives the same keys.
     """
     year, month = partition_columns(ingest_ts)
     name = F.element_at(F.split(source_file, "/"), -1)
     return F.concat(
         instrument, F.lit("/bronze/year="), year, F.lit("/month="), month, F.lit("/"), sanitize_stem(name),
         F.lit("__"), F.substring(F.sha2(source_file, 256), 1, 8),
-        F.format_string("__%020d-%020d.txt", start, end),
+        F.format_string("__%020d-%020d__%s-%010d.txt", start, end, run_id, batch_id),
     )
 
 
@@ -52,14 +56,22 @@ def bronze_rows_from_tail(tailed: DataFrame, instrument_id: str) -> DataFrame:
         now.alias("ingest_ts"),
     )
     year, month = partition_columns(F.col("ingest_ts"))
-    key = object_key(F.col("instrument_id"), F.col("source_file"), F.col("range_start"), F.col("range_end"), F.col("ingest_ts"))
-    return rows.withColumns({"object_key": key, "year": year, "month": month})
+    return rows.withColumns({"year": year, "month": month})
 
 
-def write_bronze(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Land one batch; running it again for the same ``batch_id`` replaces it."""
+def with_object_key(rows: DataFrame, run_id: str, batch_id: int) -> DataFrame:
+    """Name the objects of one batch of ``bronze_rows_from_tail``."""
+    columns = (F.col(c) for c in ("instrument_id", "source_file", "range_start", "range_end", "ingest_ts"))
+    return rows.withColumn("object_key", object_key(*columns, F.lit(run_id), F.lit(batch_id).cast("bigint")))
+
+
+def write_bronze(rows: DataFrame, path: str, run_id: str, batch_id: int) -> None:
+    """Land one batch; running it again for the same run and batch replaces it, and nothing else.
+
+    ``run_id`` names the checkpoint that numbers the batches.
+    """
     (
-        rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
         .select(*BRONZE_COLUMNS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -73,7 +85,7 @@ def write_bronze_stats(stats: DataFrame, path: str) -> None:
     (
         stats.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("instrument_id", "batch_id")
+        .partitionBy(*BATCH)
         .parquet(path)
     )
 
@@ -87,8 +99,8 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BRONZE_SCHEMA).parquet(path)
 
 
-def bronze_stats(classified: DataFrame) -> DataFrame:
-    """One row per landed object: listing columns and line statistics.
+def bronze_stats(classified: DataFrame, run_id: str, batch_id: int) -> DataFrame:
+    """One row per object that one batch landed: listing columns and line statistics.
 
     Kept up to date by landing, so an inventory or a header search reads this
     small table and not the lines.  Ranges of nothing but blank lines are no
@@ -98,9 +110,9 @@ def bronze_stats(classified: DataFrame) -> DataFrame:
         classified,
         F.max(F.col("range_end") - F.col("range_start")).alias("size"),
         F.max("ingest_ts").alias("modified_at"),
-        F.max("batch_id").alias("batch_id"),
     )
-    return stats.filter(F.col("data_rows") + F.col("other_rows") > 0).select(*STATS_COLUMNS)
+    identity = {"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")}
+    return stats.filter(F.col("data_rows") + F.col("other_rows") > 0).withColumns(identity).select(*STATS_COLUMNS)
 
 
 def bronze_objects(stats: DataFrame) -> DataFrame:
@@ -111,13 +123,13 @@ def bronze_objects(stats: DataFrame) -> DataFrame:
 def batch_ledger(bronze: DataFrame) -> DataFrame:
     """One entry per landed byte range, as a ledger of committed batches."""
     return bronze.groupBy(
-        "instrument_id", F.col("object_key").alias("s3_key"), "batch_id", "source_file",
+        "instrument_id", F.col("object_key").alias("s3_key"), "run_id", "batch_id", "source_file",
         F.col("range_start").alias("start_offset"), F.col("range_end").alias("end_offset"),
     ).agg(F.count(F.lit(1)).alias("lines"), F.lit(1).alias("uploaded"))
 
 
 def file_offsets(bronze: DataFrame) -> DataFrame:
-    """Offset reached per source file, by what has been landed."""
+    """Offset reached per source file, by what has been landed; the latest batch decides, also across runs."""
     return bronze.groupBy("instrument_id", F.col("source_file").alias("file")).agg(
-        F.max_by("range_end", F.struct("batch_id", "range_end")).alias("offset")
+        F.max_by("range_end", F.struct("ingest_ts", "batch_id", "range_end")).alias("offset")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def with_item_columns(items: DataFrame) -> DataFrame:
 
 
 def read_review_items(spark: SparkSession, path: str, documents: bool = False) -> DataFrame:
-    """Review items with their source key ``_s3_key``; unreadable ones are skipped.
+    """Review items with their source key ``_s3_key``; unreadable ones are skipped, and none are there before the first write.
 
     ``documents`` reads one (pretty-printed) JSON object per file, otherwise one
     object per line as ``write_review_items`` writes them.
@@ -44,7 +45,13 @@ def read_review_items(spark: SparkSession, path: str, documents: bool = False) -
         .option("multiLine", documents)
         .option("recursiveFileLookup", documents)
     )
-    items = reader.json(path).filter(F.col(_CORRUPT).isNull() & F.col("id").isNotNull())
+    try:
+        stored = reader.json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{ITEM_SCHEMA}, _s3_key string").select(*COLUMNS, "_s3_key")
+    items = stored.filter(F.col(_CORRUPT).isNull() & F.col("id").isNotNull())
     file = F.col("_metadata.file_path")
     key = file if documents else F.concat_ws("#", file, F.col("id"))
     return items.select(*[F.col(c) for c in COLUMNS], key.alias("_s3_key"))

@@ -178,6 +178,7 @@ class _Options:
         self.patterns = json.loads(raw) if raw.startswith("[") else [raw]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.final = options.get("final", "false").lower() == "true"
+        self.offsets = {path: int(end) for path, end in json.loads(options.get("offsets") or "{}").items()}
 
     def files(self) -> dict[str, tuple[int, int]]:
         found: dict[str, tuple[int, int]] = {}
@@ -192,7 +193,7 @@ class GrowingTextStream(DataSourceStreamReader):
         self._ends: dict[str, tuple[tuple[int, int], int]] = {}
 
     def initialOffset(self) -> dict:
-        return {"files": {}}
+        return {"files": self.options.offsets}
 
     def latestOffset(self) -> dict:
         ends = {}
@@ -247,7 +248,8 @@ def _unfinished_line(part: FileRange) -> Iterator[pa.RecordBatch]:
 
 
 class GrowingText(DataSource):
-    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``final``."""
+    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``final``, and for a
+    stream without a checkpoint ``offsets`` (JSON, path to end), from which it starts."""
 
     @classmethod
     def name(cls) -> str:
@@ -267,11 +269,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GrowingText)
 
 
-def tail_growing_files(spark: SparkSession, patterns: str | list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Streaming DataFrame of new complete lines in files matching the patterns."""
+def tail_growing_files(
+    spark: SparkSession, patterns: str | list[str], split_bytes: int = SPLIT_BYTES, offsets: dict[str, int] | None = None
+) -> DataFrame:
+    """Streaming DataFrame of new complete lines in files matching the patterns.
+
+    A stream without a checkpoint starts at ``offsets``, by full path; a file that is
+    not named there, or is shorter than its offset, starts at zero.
+    """
     register(spark)
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    return spark.readStream.format(FORMAT).option("paths", json.dumps(patterns)).option("splitBytes", split_bytes).load()
+    reader = spark.readStream.format(FORMAT).option("paths", json.dumps(patterns)).option("splitBytes", split_bytes)
+    return reader.option("offsets", json.dumps(offsets or {})).load()
 
 
 def read_growing_files(

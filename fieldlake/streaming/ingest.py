@@ -4,31 +4,72 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldlake.functions.rules import RuleSet, classify_lines
-from fieldlake.operators import totals
+from fieldlake.operators import offsets, totals
 from fieldlake.sources import bronze
 from fieldlake.sources.files import expand_lines
 from fieldlake.sources.status import STATUS_SCHEMA
 from fieldlake.sources.tail import SPLIT_BYTES, tail_growing_files
 
 
-def _land(rules: RuleSet, bronze_path: str, stats_path: str, instrument_id: str):
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a checkpoint folder: equal after each restart, another one in a new folder."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first().id
+
+
+def has_offsets(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether a query has planned a batch from this checkpoint folder."""
+    try:
+        spark.read.format("binaryFile").load(f"{checkpoint}/offsets/[0-9]*")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
+def landed_offsets(spark: SparkSession, lake: str, instrument_id: str, saved: DataFrame | None = None) -> dict[str, int]:
+    """Where a stream whose checkpoint is lost goes on: what complete batches landed, merged with ``saved`` offsets.
+
+    A batch is complete when its statistics are there.  Lines of others are read
+    again, so that none is lost; Silver drops the copies.
+    """
+    try:
+        lines = bronze.read_bronze(spark, f"{lake}/bronze")
+        complete = bronze.read_bronze_stats(spark, f"{lake}/bronze_stats").select(*bronze.BATCH).distinct()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], bronze.BRONZE_SCHEMA)
+        complete = lines.select(*bronze.BATCH)
+    reached = bronze.file_offsets(lines.join(complete, bronze.BATCH, "left_semi"))
+    if saved is not None:
+        reached = offsets.checkpoint_merge(reached, saved)
+    return {r.file: r.offset for r in reached.filter(F.col("instrument_id") == instrument_id).collect()}
+
+
+def _land(rules: RuleSet, bronze_path: str, stats_path: str, instrument_id: str, checkpoint: str):
     """Batch writer: lines first, then their statistics from the landed files.
 
-    Both writes replace what the same batch wrote before, so a batch that is run
-    again after a failure leaves one copy.
+    Both writes replace what the same batch of the same checkpoint wrote before, so a
+    batch that is run again after a failure leaves one copy, and a new checkpoint
+    leaves what an old one landed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bronze.write_bronze(batch, bronze_path, batch_id)
-        landed = bronze.read_bronze(batch.sparkSession, bronze_path).filter(
-            (F.col("instrument_id") == instrument_id) & (F.col("batch_id") == batch_id)
+        spark = batch.sparkSession
+        run_id = checkpoint_id(spark, checkpoint)
+        bronze.write_bronze(bronze.with_object_key(batch, run_id, batch_id), bronze_path, run_id, batch_id)
+        landed = bronze.read_bronze(spark, bronze_path).filter(
+            (F.col("instrument_id") == instrument_id) & (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
         )
-        bronze.write_bronze_stats(bronze.bronze_stats(classify_lines(expand_lines(landed), rules)), stats_path)
+        stats = bronze.bronze_stats(classify_lines(expand_lines(landed), rules), run_id, batch_id)
+        bronze.write_bronze_stats(stats, stats_path)
 
     return write
 
@@ -42,19 +83,24 @@ def ingest_stream(
     rules: RuleSet,
     interval: str | None = None,
     split_bytes: int = SPLIT_BYTES,
+    saved_offsets: DataFrame | None = None,
 ) -> StreamingQuery:
     """Start landing one instrument.
 
     Without ``interval`` the query takes everything present and ends; with one
-    (``"15 minutes"``) it keeps running.  Offsets live in the query's checkpoint.
+    (``"15 minutes"``) it keeps running.  Offsets live in the query's checkpoint; if
+    that is lost, the stream goes on from what has been landed, merged with
+    ``saved_offsets`` (``instrument_id, file, offset``).
     """
-    tailed = tail_growing_files(spark, patterns, split_bytes)
+    checkpoint = f"{checkpoints}/ingest/{instrument_id}"
+    start = {} if has_offsets(spark, checkpoint) else landed_offsets(spark, lake, instrument_id, saved_offsets)
+    tailed = tail_growing_files(spark, patterns, split_bytes, start)
     rows = bronze.bronze_rows_from_tail(tailed, instrument_id)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
         rows.writeStream.queryName(f"ingest-{instrument_id}")
-        .option("checkpointLocation", f"{checkpoints}/ingest/{instrument_id}")
-        .foreachBatch(_land(rules, f"{lake}/bronze", f"{lake}/bronze_stats", instrument_id))
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(_land(rules, f"{lake}/bronze", f"{lake}/bronze_stats", instrument_id, checkpoint))
         .trigger(**trigger)
         .start()
     )

@@ -13,13 +13,14 @@ from fieldlake.functions.times import content_month
 from fieldlake.operators.consolidate import GROUP, distinct_lines
 from fieldlake.sources.bronze import BRONZE_SCHEMA
 from fieldlake.sources.files import expand_lines
+from fieldlake.streaming.ingest import checkpoint_id
 
 LINES_SCHEMA = (
     "line string, line_hash string, object_key string, pos bigint, "
-    "instrument_id string, content_month string, batch_id bigint"
+    "instrument_id string, content_month string, run_id string, batch_id bigint"
 )
 COLUMNS = [part.split()[0] for part in LINES_SCHEMA.split(", ")]
-PARTITIONS = ["instrument_id", "content_month", "batch_id"]
+PARTITIONS = ["instrument_id", "content_month", "run_id", "batch_id"]
 # Beyond this many (instrument, month) labels in a batch, no partition filter.
 MAX_LABELS = 2000
 
@@ -34,19 +35,19 @@ def new_lines(batch: DataFrame, rules: RuleSet) -> DataFrame:
     return distinct.withColumns({"line_hash": line_hash(F.col("line")), "content_month": content_month(F.col("line"))})
 
 
-def append_batch(batch: DataFrame, batch_id: int, rules: RuleSet, path: str) -> None:
+def append_batch(batch: DataFrame, run_id: str, batch_id: int, rules: RuleSet, path: str) -> None:
     """Add the lines of a batch that Silver does not hold yet.
 
     Equal lines carry the same month label, because it is read from the line, so
     a batch only has to be compared with the months it mentions.  What the same
-    batch wrote before is left out of the comparison and replaced.
+    batch of the same run wrote before is left out of the comparison and replaced.
     """
     spark = batch.sparkSession
     lines = new_lines(batch, rules).persist()
     try:
         known = _known_lines(spark, path)
         if known is not None:
-            known = known.filter(F.col("batch_id") != batch_id)
+            known = known.filter((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
             labels = lines.select(GROUP, "content_month").distinct().limit(MAX_LABELS + 1).collect()
             if len(labels) <= MAX_LABELS:
                 known = known.filter(
@@ -56,7 +57,7 @@ def append_batch(batch: DataFrame, batch_id: int, rules: RuleSet, path: str) ->
         else:
             fresh = lines
         (
-            fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            fresh.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
             .select(*COLUMNS)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -87,10 +88,15 @@ def streaming_silver(
     """
     landed = spark.readStream.schema(BRONZE_SCHEMA).option("maxFilesPerTrigger", 10000).parquet(bronze_path)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    checkpoint = f"{checkpoints}/silver"
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch, checkpoint_id(batch.sparkSession, checkpoint), batch_id, rules, path)
+
     return (
         landed.writeStream.queryName("streaming-silver")
-        .option("checkpointLocation", f"{checkpoints}/silver")
-        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, rules, path))
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(append)
         .trigger(**trigger)
         .start()
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldlake.functions.rules import InstrumentRule, RuleSet, classify_lines
 from fieldlake.operators import consolidate as cs
 from fieldlake.operators import offsets
-from fieldlake.sources import bronze
+from fieldlake.sources import bronze, reviews
 from fieldlake.sources.tail import FileRange, last_line_end, list_matches, read_growing_files, read_range, split_range
 from fieldlake.streaming import ingest, silver
 
@@ -72,9 +72,9 @@ class Lake:
         self.source, self.path = root / "in", str(root / "lake")
         self.source.mkdir()
 
-    def run(self):
+    def run(self, checkpoints="cp"):
         query = ingest.ingest_stream(
-            self.spark, "A", [f"{self.source}/*.txt", f"{self.source}/o*.txt"], self.path, f"{self.path}/cp", RULES, split_bytes=3
+            self.spark, "A", [f"{self.source}/*.txt", f"{self.source}/o*.txt"], self.path, f"{self.path}/{checkpoints}", RULES, split_bytes=3
         )
         query.awaitTermination()
         return query
@@ -140,15 +140,63 @@ def test_five_passes_over_growing_and_replaced_files(spark, lake):
 def test_a_batch_that_runs_again_leaves_one_copy(spark, lake):
     (lake.source / "a.txt").write_bytes(b"1\n2\n")
     lake.run()
-    landed = lake.bronze().drop("batch_id")
+    run_id = ingest.checkpoint_id(spark, f"{lake.path}/cp/ingest/A")
+    landed = lake.bronze().drop("run_id", "batch_id")
     kept = [tuple(r) for r in landed.collect()]
     again = spark.createDataFrame(kept, landed.schema)
-    bronze.write_bronze(again, f"{lake.path}/bronze", 0)
+    bronze.write_bronze(again, f"{lake.path}/bronze", run_id, 0)
     assert len(lake.landed()) == 2
     lines = f"{lake.path}/lines"
     for _ in range(2):
-        silver.append_batch(again.withColumn("batch_id", F.lit(0).cast("bigint")), 5, RULES, lines)
+        silver.append_batch(again, "run", 5, RULES, lines)
     assert silver.read_streamed_lines(spark, lines).count() == 2
+    silver.append_batch(again.withColumn("line", F.concat("line", F.lit("0"))), "next", 5, RULES, lines)
+    assert sorted(r.line for r in silver.read_streamed_lines(spark, lines).collect()) == ["1", "10", "2", "20"]
+
+
+def test_a_new_checkpoint_goes_on_and_keeps_what_the_old_one_landed(spark, lake):
+    source = lake.source / "a.txt"
+    source.write_bytes(b"1\n2\n")
+    lake.run()
+    source.write_bytes(b"1\n2\n3\n")
+    (lake.source / "b.txt").write_bytes(b"4\n")
+    lake.run("new")
+    assert sorted(line for *_, line in lake.landed()) == ["1", "2", "3", "4"]
+    source.write_bytes(b"9\n")
+    lake.run("third")
+    assert sorted(line for *_, line in lake.landed()) == ["1", "2", "3", "4", "9"]
+    assert lake.offsets() == {"a.txt": 2, "b.txt": 2}
+    assert lake.bronze().select("run_id").distinct().count() == 3
+
+
+def test_lines_of_a_batch_without_statistics_are_read_again(spark, lake):
+    (lake.source / "a.txt").write_bytes(b"1\n2\n")
+    lake.run()
+    assert set(ingest.landed_offsets(spark, lake.path, "A").values()) == {4}
+    none = bronze.read_bronze_stats(spark, f"{lake.path}/bronze_stats").limit(0)
+    none.write.parquet(f"{lake.path}/other/bronze_stats")
+    lake.bronze().write.partitionBy(*bronze.PARTITIONS).parquet(f"{lake.path}/other/bronze")
+    assert ingest.landed_offsets(spark, f"{lake.path}/other", "A") == {}
+    saved = spark.createDataFrame([("A", "x", 7), ("B", "y", 8)], "instrument_id string, file string, offset bigint")
+    assert ingest.landed_offsets(spark, f"{lake.path}/other", "A", saved) == {"x": 7}
+    assert ingest.landed_offsets(spark, f"{lake.path}/nothing", "A") == {}
+
+
+def test_a_file_cut_and_grown_to_the_same_end_makes_other_objects(spark, lake):
+    source = lake.source / "a.txt"
+    for content in (b"7\n", b"", b"5\n"):
+        source.write_bytes(content)
+        lake.run()
+    rows = lake.bronze().collect()
+    assert sorted(r.line for r in rows) == ["5", "7"]
+    assert len({(r.object_key, r.pos) for r in rows}) == 2
+    marked = cs.first_occurrence(classify_lines(lake.bronze(), RULES)).collect()
+    assert sorted((r.line, r.is_first) for r in marked) == [("5", True), ("7", True)]
+
+
+def test_a_store_without_review_items_is_empty(spark, tmp_path):
+    none = reviews.read_review_items(spark, f"{tmp_path}/reviews")
+    assert none.count() == 0 and "_s3_key" in none.columns
 
 
 def test_an_unfinished_only_line_and_blank_ranges(spark, lake):
