@@ -19,7 +19,7 @@ import regex
 OTHER, LETTER, NUMBER, SPACE, END = 0, 1, 2, 3, 4
 # The whitespace characters of the pattern's engine.
 WHITESPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-HASH_BASE = 0x9E3779B97F4A7C15
+HASH_BASE, PLACE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 @cache
@@ -46,7 +46,13 @@ class Pieces:
 
 
 def split(texts: list[str]) -> Pieces:
-    """All pieces of all texts.  An empty text has none."""
+    """All pieces of all texts, with their hashes.  An empty text has none."""
+    joined, points, begin, end, per_text = bounds(texts)
+    return Pieces(joined, begin, end, per_text, separate_hashes(points, begin, end))
+
+
+def bounds(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, their code points, where each piece begins and ends there, and the pieces of each text."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
     kind = class_table()[points]
@@ -68,7 +74,7 @@ def split(texts: list[str]) -> Pieces:
     real = kind[begin] != END
     begin, end = begin[real], end[real]
     per_text = np.diff(np.searchsorted(begin, marks), prepend=0)
-    return Pieces(joined, begin, end, per_text, mix(run_hashes(points, begin, end)))
+    return joined, points, begin, end, per_text
 
 
 def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> None:
@@ -88,8 +94,30 @@ def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> No
         first[rest[rest < len(first)]] = True
 
 
+def separate_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values; runs are in order and do not overlap.
+
+    Every value is mixed together with its place in the run before the sum, so no
+    pattern of values cancels out, as long patterns do in a polynomial.
+    """
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    length = end - begin
+    gaps = np.append(begin, len(values)) - np.append(0, end)
+    runs = np.empty(2 * len(begin) + 1, dtype=np.int64)
+    starts = np.empty_like(runs)
+    runs[::2], runs[1::2] = gaps, length
+    starts[::2], starts[1::2] = np.append(0, end), begin
+    place = np.arange(len(values), dtype=np.int64) - np.repeat(starts, runs)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix((values.astype(np.uint64) + np.uint64(1)) * np.uint64(HASH_BASE) + place.astype(np.uint64) * np.uint64(PLACE)), out=sums[1:])
+        return mix(sums[end] - sums[begin] + length.astype(np.uint64))
+
+
 def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each run of values, the same wherever the run stands; to be mixed before use."""
+    """A 64-bit polynomial hash of each run of values, the same wherever the run stands; to be mixed before use.
+
+    For windows that overlap; only for lengths far below the 1,024 values at which patterns of two values collide.
+    """
     powers, inverse = _powers(len(values) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(values) + 1, dtype=np.uint64)
