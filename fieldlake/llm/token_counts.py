@@ -99,12 +99,10 @@ class Counter:
         counts[short[hit]], whole[short[hit]] = 1, True
         rest = short[~hit]
         counts[rest] = self._short(data, start[rest], length[rest], one[~hit], two[~hit])
-        for i in np.flatnonzero(length > exact.SHORT).tolist():
-            piece = data[start[i] : start[i] + length[i]]
-            if piece in self.whole_long:
-                counts[i], whole[i] = 1, True
-            else:
-                counts[i] = self._long(piece)
+        long = np.flatnonzero(length > exact.SHORT)
+        pieces = [data[b : b + n] for b, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+        whole[long] = [p in self.whole_long for p in pieces]
+        counts[long] = self._long(pieces)
         text = np.repeat(np.arange(len(texts)), per_text)
         return tuple(np.bincount(text, weights, len(texts)).astype(np.int64) for weights in (counts, whole))
 
@@ -122,16 +120,16 @@ class Counter:
             counts[new] = merged[back]
         return counts
 
-    def _long(self, piece: bytes) -> int:
-        n = self.seen_long.get(piece)
-        if n is None:
-            n = int(merge_pieces(self.vocabulary, [piece])[1][0])
-            if self.long_bytes > LONG_BYTES:
-                self.seen_long, self.long_bytes = {}, 0
-            if len(piece) <= LONG_BYTES:
-                self.seen_long[piece] = n
-                self.long_bytes += len(piece) + 100
-        return n
+    def _long(self, pieces: list[bytes]) -> list[int]:
+        if self.long_bytes > LONG_BYTES:
+            self.seen_long, self.long_bytes = {}, 0
+        new = [p for p in dict.fromkeys(pieces) if p not in self.seen_long and p not in self.whole_long]
+        fresh = dict(zip(new, merge_pieces(self.vocabulary, new)[1].tolist(), strict=True)) if new else {}
+        counts = [1 if p in self.whole_long else fresh.get(p) or self.seen_long[p] for p in pieces]
+        kept = [p for p in new if len(p) <= LONG_BYTES]
+        self.seen_long.update((p, fresh[p]) for p in kept)
+        self.long_bytes += sum(len(p) + 100 for p in kept)
+        return counts
 
 
 _counters: dict[bytes, Counter] = {}
