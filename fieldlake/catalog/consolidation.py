@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.catalog.registry import query
 from fieldlake.catalog.standins import (
-    CL, DD, DL, DOCUMENT_RULES, OBJ, classified_documents, conversation_lines, document_lines, object_listing,
+    CL, DD, DL, DOCUMENT_RULES, OBJ, STATS, classified_documents, conversation_lines, document_lines, object_listing,
 )
 from fieldlake.functions.rules import classify_lines
 from fieldlake.operators import consolidate as cs
@@ -67,16 +67,7 @@ def assign_source_index(spark, sf):
     return positions.assign_source_index(distinct).select("instrument_id", "object_key", "pos", "source_index")
 
 
-_STATS = DD + "," + OBJ + """,
-st AS (
-  SELECT instrument_id, o.n AS bronze_objects, coalesce(c.total, 0)::BIGINT AS data_rows_total,
-         coalesce(c.n, 0) AS data_rows_unique, (coalesce(c.total, 0) - coalesce(c.n, 0))::BIGINT AS duplicates_removed
-  FROM (SELECT instrument_id, count(*) AS n FROM obj GROUP BY 1) o
-  LEFT JOIN (SELECT instrument_id, sum(copies) AS total, count(*) AS n FROM dd GROUP BY 1) c USING (instrument_id)
-)"""
-
-
-@query("silver_stats", f"WITH {_STATS} SELECT * FROM st")
+@query("silver_stats", f"WITH {STATS} SELECT * FROM st")
 def silver_stats(spark, sf):
     return cs.silver_stats(dedup_keep_first(spark, sf), object_listing(spark, sf))
 

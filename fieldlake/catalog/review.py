@@ -41,7 +41,7 @@ def page(spark, sf):
 
 @query("page_deep", _ONE + " ORDER BY source_index DESC LIMIT 100 OFFSET 150")
 def page_deep(spark, sf):
-    rows = paging.page(_one(spark, sf), 150, 100, "desc", top_k_depth=0, skip_block=64)
+    rows = paging.page(_one(spark, sf), 150, 100, "desc", fan_out=8, fine=64)
     return rows.select("source_index", "row_key")
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from fieldlake.catalog.registry import query
 from fieldlake.catalog.standins import (
-    CL, EV, EVENT_HEADER, EVENT_RULES, ITEMS, ROWS, conversation_lines, event_lines, event_log, review_items, table,
+    DOCUMENT_RULES, EV, EVENT_HEADER, EVENT_RULES, ITEMS, ROWS, STATS, document_lines, event_lines, event_log, object_listing,
+    review_items, table,
 )
 from fieldlake.functions.times import partition_columns
-from fieldlake.operators import consolidate as cs
 from fieldlake.operators import totals
 from fieldlake.plans import silver as silver_plan
 from fieldlake.session import scratch_path
@@ -131,15 +131,32 @@ def write_silver(spark, sf):
 
 @query(
     "build_silver",
-    f"""WITH {CL} SELECT instrument_id, count(DISTINCT object_key) AS objects, (count(*) FILTER (is_data)) AS rows,
-      count(DISTINCT line) FILTER (is_data) AS unique,
-      (count(*) FILTER (is_data)) - (count(DISTINCT line) FILTER (is_data)) AS duplicates, true AS written FROM cl GROUP BY 1""",
+    f"""WITH {STATS} SELECT instrument_id, bronze_objects AS objects, data_rows_total AS rows, data_rows_unique AS unique,
+      duplicates_removed AS duplicates, bronze_objects > 0 AS written, NULL::VARCHAR AS error FROM st""",
 )
 def build_silver(spark, sf):
-    lines = conversation_lines(spark, sf)
-    data = cs.distinct_lines(lines.filter("is_data"))
-    objects = lines.select("instrument_id", "object_key").distinct()
-    return silver_plan.build_results(cs.silver_stats(data, objects))
+    """The whole rebuild of the documents: four tables and one commit."""
+    path = scratch_path(spark, "document-lake")
+    return silver_plan.build_silver(document_lines(spark, sf), DOCUMENT_RULES, path, object_listing(spark, sf))
+
+
+@query(
+    "build_with_a_failure",
+    f"""WITH {EV} SELECT instrument_id, instrument_id = 'view' AS failed, count(*) AS rows,
+      count(*) FILTER (instrument_id = 'view' OR pos % 2 = 0) AS rows_after FROM ev GROUP BY 1""",
+)
+def build_with_a_failure(spark, sf):
+    """A second build with half of the lines, in which one instrument fails: it keeps its rows, the others are replaced."""
+    path = scratch_path(spark, "half-failed-lake")
+    lines = event_log(spark, sf)
+    broken = F.when((F.col("instrument_id") == "view") & (F.col("pos") == -1), F.col("line").cast("int").cast("string")).otherwise(F.col("line"))
+    silver_plan.build_silver(lines, EVENT_RULES, path)
+    before = silver.read_silver(spark, path).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows"))
+    results = silver_plan.build_silver(lines.filter("pos % 2 = 0 or pos = -1").withColumn("line", broken), EVENT_RULES, path)
+    after = silver.read_silver(spark, path).groupBy("instrument_id").agg(F.count(F.lit(1)).alias("rows_after"))
+    failed = results.select("instrument_id", F.col("error").contains("CAST_INVALID_INPUT").alias("failed"))
+    failed = failed.withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return before.join(after, "instrument_id").join(failed, "instrument_id")
 
 
 @query(

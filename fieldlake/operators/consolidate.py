@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import is_blank
-from fieldlake.operators.positions import BLOCK_ROWS, assign_source_index
+from fieldlake.operators.positions import assign_source_index
 from fieldlake.session import stage
 
 GROUP = "instrument_id"
@@ -116,14 +116,14 @@ def first_occurrence(lines: DataFrame) -> DataFrame:
     )
 
 
-def collect_preamble(lines: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def collect_preamble(lines: DataFrame, partitions: int | None = None) -> DataFrame:
     """Distinct non-data lines per instrument in first-seen order: ``seq, line``."""
-    return number_preamble(distinct_lines(lines.filter(~F.col("is_data"))), block_rows)
+    return number_preamble(distinct_lines(lines.filter(~F.col("is_data"))), partitions)
 
 
-def number_preamble(distinct: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def number_preamble(distinct: DataFrame, partitions: int | None = None) -> DataFrame:
     """``seq`` for distinct non-data lines, by their first position."""
-    return assign_source_index(distinct, name="seq", block_rows=block_rows).select(GROUP, "seq", "line")
+    return assign_source_index(distinct, name="seq", partitions=partitions).select(GROUP, "seq", "line")
 
 
 def silver_stats(distinct: DataFrame, objects: DataFrame) -> DataFrame:

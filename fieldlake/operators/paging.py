@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.functions.times import in_range
@@ -11,9 +11,9 @@ from fieldlake.functions.times import in_range
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 500
 
-# Up to this depth a page is a top-k; deeper cursors skip whole index blocks.
-TOP_K_DEPTH = 20_000
-SKIP_BLOCK = 100_000
+# A search for a page counts rows in so many blocks of the index at once, down to blocks of so many numbers.
+FAN_OUT = 4096
+FINE_BLOCK = 20_000
 
 
 def clamp_limit(limit: int | None) -> int:
@@ -59,39 +59,71 @@ def in_order(rows: DataFrame, order: str = "asc", index: str = "source_index") -
     return rows.orderBy(_direction(order, index))
 
 
+def index_bounds(
+    rows: DataFrame, cursor: int, limit: int, order: str, index: str, fan_out: int, fine: int
+) -> tuple[int, int, int] | None:
+    """Lowest and highest index of a stretch that holds the page, and how many of its rows come before the page.
+
+    Rows are counted in ``fan_out`` blocks of the index; the blocks that the page meets
+    are the next stretch, until it is ``fine`` or does not shrink.  The driver holds one
+    count per block, and only the first round reads more than one block of the one before.
+    """
+    ends = rows.agg(F.min(index).alias("low"), F.max(index).alias("high")).first()
+    if ends.low is None:
+        return None
+    low, high, before = ends.low, ends.high, cursor
+    while high - low >= fine:
+        width = -(-(high - low + 1) // fan_out)
+        block = F.floor((F.col(index) - low) / width).cast("bigint")
+        counted = rows.filter(F.col(index).between(low, high)).groupBy(block.alias("block")).count().collect()
+        met, ahead = [], 0
+        for r in sorted(counted, key=lambda r: r.block, reverse=order == "desc"):
+            if ahead + r["count"] > before and ahead < before + limit:
+                met.append((r.block, ahead))
+            ahead += r["count"]
+        if not met:
+            return None
+        before -= met[0][1]
+        first, last = sorted((met[0][0], met[-1][0]))
+        low, high, was = low + first * width, min(high, low + (last + 1) * width - 1), high - low
+        if high - low >= was or width == 1:
+            break
+    return low, high, before
+
+
 def page(
     rows: DataFrame,
     cursor: int = 0,
     limit: int | None = None,
     order: str = "asc",
     index: str = "source_index",
-    top_k_depth: int = TOP_K_DEPTH,
-    skip_block: int = SKIP_BLOCK,
+    fan_out: int = FAN_OUT,
+    fine: int = FINE_BLOCK,
 ) -> DataFrame:
     """Rows ``cursor`` to ``cursor + limit`` of the ordered rows of one instrument.
 
-    Shallow pages are a distributed top-k.  A deep cursor would make the driver
-    hold everything before the page, so blocks of the index are counted instead
-    and only those that overlap the page are sorted.
+    One plan for every cursor: the search above reads the index and the filtered
+    columns only, and its bounds are literals that leave out all other row groups of
+    the wide rows.
     """
     cursor, limit = clamp_cursor(cursor), page_size(limit)
-    if cursor + limit <= top_k_depth:
-        return in_order(rows, order, index).offset(cursor).limit(limit)
-    blocks = rows.withColumn("_block", F.floor(F.col(index) / skip_block).cast("bigint"))
-    ahead = Window.orderBy(_direction(order, "_block")).rowsBetween(Window.unboundedPreceding, -1)
-    counted = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_rows"))
-    counted = counted.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
-    wanted = counted.filter((F.col("_ahead") < cursor + limit) & (F.col("_ahead") + F.col("_rows") > cursor))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy(_direction(order, index)))
-    place = F.col("_ahead") + F.col("_rank") - 1
-    return in_order(
-        blocks.join(wanted, "_block")
-        .withColumn("_rank", rank)
-        .filter((place >= cursor) & (place < cursor + limit))
-        .drop("_block", "_rows", "_ahead", "_rank"),
-        order,
-        index,
-    )
+    found = index_bounds(rows, cursor, limit, order, index, fan_out, fine)
+    if found is None:
+        return rows.limit(0)
+    low, high, before = found
+    return in_order(rows.filter(F.col(index).between(low, high)), order, index).offset(before).limit(limit)
+
+
+def page_dense(rows: DataFrame, cursor: int = 0, limit: int | None = None, order: str = "asc", index: str = "source_index") -> DataFrame:
+    """The same page of rows that hold every index from 0: the cursor itself is the bound."""
+    cursor, limit = clamp_cursor(cursor), page_size(limit)
+    low = cursor
+    if order == "desc":
+        last = rows.agg(F.max(index).alias("last")).first().last
+        if last is None or last < cursor:
+            return rows.limit(0)
+        low = last - cursor - limit + 1
+    return in_order(rows.filter(F.col(index).between(low, low + limit - 1)), order, index)
 
 
 def page_after(rows: DataFrame, last_index: int | None, limit: int | None = None, order: str = "asc", index: str = "source_index") -> DataFrame:
@@ -102,7 +134,7 @@ def page_after(rows: DataFrame, last_index: int | None, limit: int | None = None
 
 
 def latest_rows(rows: DataFrame, limit: int | None = None, index: str = "source_index") -> DataFrame:
-    return in_order(rows, "desc", index).limit(page_size(limit))
+    return page(rows, 0, limit, "desc", index)
 
 
 def next_cursor(page_rows: DataFrame, cursor: int = 0, limit: int | None = None) -> DataFrame:
@@ -113,6 +145,6 @@ def next_cursor(page_rows: DataFrame, cursor: int = 0, limit: int | None = None)
 
 
 __all__ = [
-    "clamp_cursor", "clamp_limit", "in_order", "in_range", "latest_rows", "next_cursor", "page", "page_after", "page_size",
-    "time_range_filter",
+    "clamp_cursor", "clamp_limit", "in_order", "in_range", "latest_rows", "next_cursor", "page", "page_after", "page_dense",
+    "page_size", "time_range_filter",
 ]

@@ -1,20 +1,22 @@
 """Ordered operators that never put one instrument, or one object, in one task.
 
-Rows are ordered by ``(object_key, pos)`` inside an instrument.  A window over
-an instrument would put all its rows in one task, so the order is resolved on
-two levels: *blocks* of at most ``block_rows`` consecutive positions of one
-object, and a table with one row per block.  Window functions over rows run
-inside a block; what has to pass from block to block (a running count, the last
-header line) is computed on the block table, which is smaller than the data by
-the block size, and joined back on the block key.
+Rows are ordered by ``(object_key, pos)`` inside an instrument.  Ranks come from a
+range partitioning of all rows: partitions are equally full whatever the instruments
+and objects are, and only one number per partition is added up outside of them.
+Looking back inside an object is resolved on *blocks* of at most ``block_rows``
+consecutive positions: windows run inside a block, and what passes from block to block
+is computed on a table with one row per block.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import is_blank
+from fieldlake.session import stage
 
 BLOCK_ROWS = 1_000_000
 
@@ -23,6 +25,10 @@ def _with_block(df: DataFrame, pos: str, block_rows: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(pos) / block_rows).cast("bigint"))
 
 
+# ``monotonically_increasing_id`` holds the partition above 33 bits of row number.
+_ROW_BITS = 33
+
+
 def assign_source_index(
     df: DataFrame,
     *,
@@ -30,30 +36,40 @@ def assign_source_index(
     object_key: str = "object_key",
     pos: str = "pos",
     name: str = "source_index",
-    block_rows: int = BLOCK_ROWS,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based rank of each row in its group's ``(object_key, pos)`` order."""
-    blocks = _with_block(df, pos, block_rows)
-    key = [group, object_key, "_block"]
-    counted = blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
-    # Two running sums over the block table: blocks inside an object, then
-    # objects inside a group.
-    objects = counted.groupBy(group, object_key).agg(F.sum("_rows").alias("_object_rows"))
-    inside = Window.partitionBy(group, object_key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("_in_object", F.coalesce(F.sum("_rows").over(inside), F.lit(0)))
-    before = Window.partitionBy(group).orderBy(object_key).rowsBetween(Window.unboundedPreceding, -1)
-    objects = objects.select(
-        group, object_key, F.coalesce(F.sum("_object_rows").over(before), F.lit(0)).alias("_before_object")
+    """Add the 0-based rank of each row in its group's ``(object_key, pos)`` order.
+
+    All rows are range partitioned and sorted by (group, object, position) and staged
+    with their partition and their place in it.  The number of rows before a partition
+    is a running sum over one count per partition, on the driver; the rank is the place
+    in all rows less that of the group's first row.  No window, no task by group, and the
+    staged files are in order.  Without ``partitions`` the session's number counts.
+    """
+    spark = df.sparkSession
+    order = [group, object_key, pos]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = stage(ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered-rows")
+    part = F.shiftright("_id", _ROW_BITS)
+    # A sorted partition begins few groups, so this has about as many rows as there are partitions and groups.
+    runs = stage(
+        placed.groupBy(part.alias("_part"), group).agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")),
+        "ordered-runs",
     )
-    offsets = counted.join(objects, [group, object_key]).select(
-        *key, (F.col("_in_object") + F.col("_before_object")).alias("_offset")
+    counts = sorted((r["_part"], r.n) for r in runs.groupBy("_part").agg(F.sum("_rows").alias("n")).collect())
+    before = [total - n for total, (_, n) in zip(accumulate(n for _, n in counts), counts, strict=True)]
+    begins = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=True)], "_part bigint, _before bigint")
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    # One row per partition: the session's number of partitions bounds it.
+    starts = (
+        runs.withColumnRenamed("_first", "_id").join(F.broadcast(begins), "_part").groupBy(group).agg(F.min(place).alias("_start"))
     )
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(pos))
     return (
-        blocks.withColumn("_rank", rank)
-        .join(offsets, key)
-        .withColumn(name, (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
-        .drop("_rank", "_offset", "_block")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(begins), "_part")
+        .join(stage(starts, "ordered-starts").withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
+        .withColumn(name, (place - F.col("_start")).cast("bigint"))
+        .drop("_id", "_part", "_before", "_start", "_group")
     )
 
 

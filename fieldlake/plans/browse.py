@@ -35,13 +35,16 @@ def browse_records(
 ) -> DataFrame:
     """One page of records with their flags, corrections and status.
 
-    The instrument prunes partitions and the bounds are literals on the stored
-    time, so both reach the scan.  Reviews meet only the rows of the page.
+    The instrument prunes folders; time bounds, and the bounds of the page on
+    ``source_index``, are literals that leave out row groups.  Silver holds every index
+    of an instrument, so without time bounds the cursor is the bound.  Reviews meet only
+    the rows of the page.
     """
     spark = silver.sparkSession
     rows = silver.filter(F.col("instrument_id") == instrument_id)
-    rows = paging.time_range_filter(rows, parse_bound(spark, start), parse_bound(spark, end))
-    page = paging.page(rows, cursor, paging.clamp_limit(limit), order)
+    bounds = parse_bound(spark, start), parse_bound(spark, end)
+    turn = paging.page_dense if bounds == (None, None) else paging.page
+    page = turn(paging.time_range_filter(rows, *bounds), cursor, paging.clamp_limit(limit), order)
     own = items.filter(F.col("instrument_id") == instrument_id)
     return paging.in_order(attach_reviews(page, own), order).select("instrument_id", *RECORD)
 

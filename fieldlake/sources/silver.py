@@ -1,4 +1,9 @@
-"""Silver tables on storage: rows, headers, preambles, statistics, text export."""
+"""Silver tables on storage: rows, headers, preambles, statistics, text export.
+
+The four tables of a build are published together (``sources.versions``): a reader
+sees all of them or none.  Rows lie in storage order, in row groups that are small
+enough for their bounds on ``source_index`` and ``ts`` to leave out most of a file.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import split_lines
+from fieldlake.sources import versions
 
 SILVER_SCHEMA = (
     "source_index bigint, object_key string, pos bigint, raw string, fields array<string>, "
@@ -22,37 +28,57 @@ STATS_SCHEMA = (
 UNIQUE_ROWS_MARK = "# data_rows_unique:"
 
 
-def write_partitions(df: DataFrame, path: str) -> None:
-    """Replace only the instruments present in ``df``."""
+TABLES = ["rows", "preamble", "header", "stats"]
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
+
+def write_rows(rows: DataFrame, path: str, build: str) -> None:
+    """Silver rows of one build, a folder per instrument, in order inside every file."""
     (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        rows.sortWithinPartitions("instrument_id", "source_index")
+        .write.option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy("instrument_id")
-        .parquet(path)
+        .parquet(f"{path}/rows/build={build}")
     )
 
 
+def write_table(df: DataFrame, path: str, table: str, build: str) -> None:
+    """One of the small tables of a build."""
+    df.write.parquet(f"{path}/{table}/build={build}")
+
+
+def _live(spark: SparkSession, path: str) -> DataFrame:
+    return versions.manifest(spark, path).filter("build is not null")
+
+
 def read_silver(spark: SparkSession, path: str, instrument_id: str | None = None) -> DataFrame:
-    """Silver rows; the instrument prunes partitions, ``ts`` bounds reach the scan.
+    """Silver rows of the current version; the instrument prunes folders, ``source_index`` and ``ts`` bounds reach the scan.
 
-    Only instruments whose last build kept rows are shown, so rows of an earlier
-    build do not outlive a rebuild that found none.
+    Instruments whose last good build kept no rows have none.
     """
-    live = read_silver_stats(spark, path).filter("data_rows_unique > 0").select("instrument_id")
-    rows = spark.read.schema(SILVER_SCHEMA).parquet(f"{path}/rows").join(live, "instrument_id", "left_semi")
+    live = _live(spark, path).filter("data_rows_unique > 0")
+    if instrument_id is not None:
+        live = live.filter(F.col("instrument_id") == instrument_id)
+    rows = versions.read_live(spark, path, "rows", SILVER_SCHEMA, live)
     return rows if instrument_id is None else rows.filter(F.col("instrument_id") == instrument_id)
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HEADER_SCHEMA).parquet(f"{path}/header")
+    return versions.read_live(spark, path, "header", HEADER_SCHEMA, _live(spark, path))
 
 
 def read_preamble(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREAMBLE_SCHEMA).parquet(f"{path}/preamble")
+    return versions.read_live(spark, path, "preamble", PREAMBLE_SCHEMA, _live(spark, path))
 
 
 def read_silver_stats(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STATS_SCHEMA).parquet(f"{path}/stats")
+    """Statistics of every instrument; they are part of the manifest."""
+    return _live(spark, path).select(*[part.split()[0] for part in STATS_SCHEMA.split(", ")])
+
+
+def read_build_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Instruments whose last build failed: ``instrument_id, attempt, error``."""
+    return versions.manifest(spark, path).filter("error is not null").select("instrument_id", "attempt", "error")
 
 
 def silver_rows_from_sidecar(sidecars: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ def lake(spark, tmp_path_factory):
     bad.write_bytes(b"123456,\xff,0,1,1,2,3,4,2026-03-02 18:00:09,9\n")
     lines = files.scan_bronze_lines(spark, str(root)).withColumn("pos", F.col("pos"))
     path = str(tmp_path_factory.mktemp("silver"))
-    results = build_silver(lines, RuleSet(), path, files.scan_bronze_objects(spark, str(root)), block_rows=2)
-    return {"root": str(root), "path": path, "results": {r.instrument_id: tuple(r)[1:] for r in results.collect()}, "lines": lines}
+    results = build_silver(lines, RuleSet(), path, files.scan_bronze_objects(spark, str(root)), partitions=5)
+    return {"root": str(root), "path": path, "results": {r.instrument_id: tuple(r)[1:6] for r in results.collect() if r.error is None}, "lines": lines}
 
 
 def rows_of(spark, lake, instrument):
@@ -97,7 +97,7 @@ def test_rebuild_is_idempotent_and_leaves_other_instruments(spark, lake):
     build_silver(lake["lines"].filter("instrument_id = 'SMPS'"), RuleSet(), lake["path"])
     assert before == {i: [r.row_key for r in rows_of(spark, lake, i)] for i in RuleSet().instrument_ids}
     idle = build_results(silver.read_silver_stats(spark, lake["path"]), spark.sql("select 'none' instrument_id")).first()
-    assert tuple(idle) == ("none", 0, 0, 0, 0, False)
+    assert tuple(idle) == ("none", 0, 0, 0, 0, False, None)
 
 
 def test_a_rebuild_without_data_rows_empties_the_instrument(spark, tmp_path):
@@ -106,7 +106,7 @@ def test_a_rebuild_without_data_rows_empties_the_instrument(spark, tmp_path):
     build_silver(lines, RuleSet(), path)
     assert silver.read_silver(spark, path).count() == 1
     result = build_silver(lines.withColumn("line", F.lit("note")), RuleSet(), path).first()
-    assert tuple(result) == ("CO2-LICOR", 1, 0, 0, 0, True)
+    assert tuple(result) == ("CO2-LICOR", 1, 0, 0, 0, True, None)
     assert silver.read_silver(spark, path).count() == 0
 
 

@@ -41,9 +41,9 @@ def enlarged(copies):
     return LAKE + list(dict.fromkeys(more))
 
 
-def found_rows(df, block_rows):
+def found_rows(df, partitions):
     rows = {}
-    for r in positions.assign_source_index(cs.dedup_keep_first(df), block_rows=block_rows).collect():
+    for r in positions.assign_source_index(cs.dedup_keep_first(df), partitions=partitions).collect():
         rows.setdefault(r.instrument_id, {})[r.source_index] = (r.line, r.object_key, r.pos)
     return {i: [by_index[n] for n in range(len(by_index))] for i, by_index in rows.items()}
 
@@ -51,10 +51,10 @@ def found_rows(df, block_rows):
 def test_consolidation_of_a_small_lake(spark):
     df = build(spark, LAKE)
     assert {r.instrument_id: r.line for r in cs.recover_header(df).collect()} == HEADERS
-    for block_rows in (1, 3, 1000):
-        assert found_rows(df, block_rows) == KEPT
+    for partitions in (1, 3, 9):
+        assert found_rows(df, partitions) == KEPT
         preamble = {}
-        for r in cs.collect_preamble(df, block_rows=block_rows).orderBy("seq").collect():
+        for r in cs.collect_preamble(df, partitions).orderBy("seq").collect():
             preamble.setdefault(r.instrument_id, []).append(r.line)
         assert preamble == PREAMBLES
     objects = df.select("instrument_id", "object_key").distinct()
@@ -96,12 +96,13 @@ def test_pages_of_both_kinds_join_up_to_the_whole(spark):
     rows = spark.range(0, 1000).filter("id % 3 > 0").select(F.col("id").alias("source_index")).cache()
     ids = [r[0] for r in rows.orderBy("source_index").collect()]
     for order, want in (("asc", ids), ("desc", ids[::-1])):
-        for depth in (10**6, 0):
+        for fan_out, fine in ((4096, 20_000), (3, 70), (2, 1)):
             seen = []
             for cursor in range(0, 700, 200):
-                part = paging.page(rows, cursor, 200, order, top_k_depth=depth, skip_block=70)
+                part = paging.page(rows, cursor, 200, order, fan_out=fan_out, fine=fine)
                 seen += [r[0] for r in part.collect()]
             assert seen == want
+            assert paging.page(rows, 5000, 10, order, fan_out=fan_out, fine=fine).collect() == []
     after = [r[0] for r in paging.page_after(rows, 100, 5).collect()]
     assert after == [i for i in ids if i > 100][:5]
     rows.unpersist()
@@ -113,3 +114,37 @@ def test_limits_and_cursors(spark):
     rows = spark.range(30).withColumnRenamed("id", "source_index")
     assert paging.next_cursor(paging.page(rows, 10, 20), 10, 20).first()[0] == 30
     assert paging.next_cursor(paging.page(rows, 20, 20), 20, 20).first()[0] is None
+
+
+def test_dense_pages_need_no_count(spark):
+    rows = spark.range(30).withColumnRenamed("id", "source_index")
+    for cursor in (0, 7, 25, 30, 99):
+        for order, ids in (("asc", list(range(30))), ("desc", list(range(29, -1, -1)))):
+            assert [r[0] for r in paging.page_dense(rows, cursor, 8, order).collect()] == ids[cursor : cursor + 8]
+    assert paging.page_dense(rows.filter("false"), 0, 8, "desc").collect() == []
+
+
+def test_a_page_of_a_sparse_index_with_one_far_row(spark):
+    rows = spark.sql("select id as source_index from range(100) union all select 1000000000000")
+    assert [r[0] for r in paging.page(rows, 99, 5, fan_out=4, fine=10).collect()] == [99, 10**12]
+    assert [r[0] for r in paging.page(rows, 0, 2, "desc", fan_out=4, fine=10).collect()] == [10**12, 99]
+
+
+def test_ranks_of_many_objects_use_no_window_and_stay_spread(spark):
+    lines = spark.sql("select 'A' instrument_id, format_string('o%05d', id) object_key, 0L pos from range(1000) "
+                      "union all select 'B', 'one', id from range(500) union all select null, 'x', id from range(3)")
+    ranked = positions.assign_source_index(lines.repartition(4), partitions=16)
+    assert "Window" not in ranked._jdf.queryExecution().toString()
+    got = {}
+    for r in ranked.orderBy("source_index").collect():
+        got.setdefault(r.instrument_id, []).append((r.object_key, r.pos, r.source_index))
+    assert got["A"] == [(f"o{i:05d}", 0, i) for i in range(1000)]
+    assert got["B"] == [("one", i, i) for i in range(500)] and [i for *_, i in got[None]] == [0, 1, 2]
+    staged = spark.read.parquet(*[f for f in ranked.inputFiles() if "ordered-rows" in f]).filter("instrument_id = 'A'")
+    sizes = [r["count"] for r in staged.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 250
+
+
+def test_rank_of_an_empty_table(spark):
+    lines = spark.createDataFrame([], "instrument_id string, object_key string, pos bigint")
+    assert positions.assign_source_index(lines).collect() == []
