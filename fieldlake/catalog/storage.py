@@ -172,7 +172,7 @@ def read_silver_stats(spark, sf):
         silver.export_text(lines, path, "n")
 
     path = once(spark, sf, "sidecars", write)
-    texts = spark.read.option("wholetext", True).text(path).select("instrument_id", F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select("instrument_id", F.col("value").alias("text"))
     sidecar = silver.silver_rows_from_sidecar(texts).groupBy("instrument_id").agg(F.max("data_rows_unique").alias("from_sidecar"))
     return stats.join(sidecar, "instrument_id").select("instrument_id", "data_rows_unique", "from_sidecar")
 

@@ -1,4 +1,9 @@
-"""The Bronze line table and its per-object statistics."""
+"""The Bronze line table, its per-object statistics, and the ledger of landed byte ranges.
+
+A batch writes its lines, then their statistics, then its ledger entries.  A batch
+without ledger entries did not end: its folders are removed when its lines are read
+again under another checkpoint.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldlake.functions.text import sanitize_stem
 from fieldlake.functions.times import partition_columns
 from fieldlake.operators.consolidate import object_stats
+from fieldlake.sources.versions import hadoop_files
 
 PARTITIONS = ["instrument_id", "year", "month", "run_id", "batch_id"]
 # A batch number starts anew with each checkpoint; only with the run does it name a batch.
@@ -23,6 +29,11 @@ STATS_SCHEMA = (
     "first_data_pos bigint, last_data_pos bigint, first_other_pos bigint, instrument_id string, run_id string, batch_id bigint"
 )
 STATS_COLUMNS = [part.split()[0] for part in STATS_SCHEMA.split(", ")]
+LEDGER_SCHEMA = (
+    "source_file string, range_start bigint, range_end bigint, lines bigint, ingest_ts timestamp_ntz, "
+    "instrument_id string, run_id string, batch_id bigint"
+)
+LEDGER_COLUMNS = [part.split()[0] for part in LEDGER_SCHEMA.split(", ")]
 
 
 def object_key(instrument, source_file, start, end, ingest_ts, run_id, batch_id):
@@ -115,13 +126,55 @@ def bronze_stats(classified: DataFrame, run_id: str, batch_id: int) -> DataFrame
     return stats.filter(F.col("data_rows") + F.col("other_rows") > 0).withColumns(identity).select(*STATS_COLUMNS)
 
 
+def landed_ranges(landed: DataFrame) -> DataFrame:
+    """Ledger entries: one row per byte range of a batch's landed lines."""
+    return landed.groupBy("instrument_id", "run_id", "batch_id", "source_file", "range_start", "range_end").agg(
+        F.count(F.lit(1)).alias("lines"), F.max("ingest_ts").alias("ingest_ts")
+    ).select(*LEDGER_COLUMNS)
+
+
+def write_ledger(ranges: DataFrame, path: str) -> None:
+    """Replace the entries of the batches present in ``ranges``; the last write of a batch."""
+    (
+        ranges.coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*BATCH)
+        .parquet(path)
+    )
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all ended batches; empty before the first one."""
+    files, folder = hadoop_files(spark, path)
+    if not files.exists(folder):
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+
+
+def remove_half_landed(spark: SparkSession, path: str, ledger: DataFrame, instrument_id: str) -> list[str]:
+    """Remove Bronze folders of an instrument's batches that the ledger does not have; returns their names.
+
+    Only folder names and the ledger are read.  No query may be landing the instrument.
+    """
+    ended = {(r.run_id, r.batch_id) for r in ledger.filter(F.col("instrument_id") == instrument_id).select("run_id", "batch_id").distinct().collect()}
+    files, folder = hadoop_files(spark, f"{path}/instrument_id={instrument_id}/year=*/month=*/run_id=*/batch_id=*")
+    removed = []
+    for status in files.globStatus(folder) or []:
+        run, batch = status.getPath().getParent().getName(), status.getPath().getName()
+        if (run.removeprefix("run_id="), int(batch.removeprefix("batch_id="))) not in ended:
+            files.delete(status.getPath(), True)
+            removed.append(f"{run}/{batch}")
+    return sorted(removed)
+
+
 def bronze_objects(stats: DataFrame) -> DataFrame:
     """Object listing of the line table."""
     return stats.select("instrument_id", "object_key", "size", "modified_at")
 
 
 def batch_ledger(bronze: DataFrame) -> DataFrame:
-    """One entry per landed byte range, as a ledger of committed batches."""
+    """One entry per landed byte range with its object, out of the lines."""
     return bronze.groupBy(
         "instrument_id", F.col("object_key").alias("s3_key"), "run_id", "batch_id", "source_file",
         F.col("range_start").alias("start_offset"), F.col("range_end").alias("end_offset"),
@@ -129,7 +182,7 @@ def batch_ledger(bronze: DataFrame) -> DataFrame:
 
 
 def file_offsets(bronze: DataFrame) -> DataFrame:
-    """Offset reached per source file, by what has been landed; the latest batch decides, also across runs."""
+    """Offset reached per source file, out of lines or the ledger; the latest batch decides, also across runs."""
     return bronze.groupBy("instrument_id", F.col("source_file").alias("file")).agg(
         F.max_by("range_end", F.struct("ingest_ts", "batch_id", "range_end")).alias("offset")
     )

@@ -2,20 +2,27 @@
 
 Spark's file source takes files as finished.  This one keeps a byte offset per
 file: a micro-batch holds the complete lines added since the last one, a final
-line without a line break waits, a file that became shorter is read again from
-its start, and a new file starts at zero.
+line without a line break waits, and a new file starts at zero.
 
-Offsets are ``{"files": {path: end}}``.  The driver only looks for the last line
-break of files that changed, backwards from their end; the bytes themselves are
-read by tasks, in ranges of ``splitBytes`` cut at line breaks.
+Offsets are ``{"files": {path: [end, generation, head, digest]}}``.  A file that
+became shorter, or whose first ``head`` bytes no longer have that digest, was
+replaced: its generation grows and it is read from its start.
+
+``maxBytes`` bounds a batch: what files have beyond it is left to the next one, at
+a line break, and files with little to read come before those with much.  The
+driver only probes files that changed, side by side; the bytes themselves are
+read by tasks, in ranges of ``splitBytes`` cut at line breaks, and small ranges
+share a task.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,8 @@ SCHEMA = "path string, range_start bigint, range_end bigint, pos bigint, line st
 SPLIT_BYTES = 128 * 1024 * 1024
 READ_BYTES = 8 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
+HEAD_BYTES = 4096
+PROBES = 32  # listings and probes that the driver has under way at once
 QUARANTINE = "_quarantine"
 
 _ARROW = pa.schema(
@@ -52,37 +61,60 @@ class FileRange(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Several ranges for one task."""
+
+    ranges: list[FileRange] = field(default_factory=list)
+
+
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri(f"s3://{rest}")
+    if mark and scheme != "file":
         return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+    local = rest if mark else path.removeprefix("file:")
+    return pafs.LocalFileSystem(), local
 
 
 def _has_wildcard(part: str) -> bool:
     return any(mark in part for mark in "*?[")
 
 
+def _side_by_side(function, items: list) -> list:
+    """Results of many small reads; a few of them run at once."""
+    if len(items) < 2:
+        return [function(item) for item in items]
+    with ThreadPoolExecutor(min(PROBES, len(items))) as pool:
+        return list(pool.map(function, items))
+
+
 def list_matches(pattern: str) -> dict[str, tuple[int, int]]:
-    """Files matching one pattern as ``{path: (size, modified ns)}``, not recursive."""
+    """Files matching one pattern as ``{path: (size, modified ns)}``, not recursive; folders of a level are listed side by side.
+
+    A path that exists as it is written counts as that file, whatever signs it has.
+    """
     filesystem, path = _filesystem(pattern)
     prefix = pattern[: len(pattern) - len(path)] if pattern.endswith(path) else ""
     parts = path.split("/")
     fixed = next((i for i, part in enumerate(parts) if _has_wildcard(part)), len(parts))
-    if fixed == len(parts):
-        infos = [filesystem.get_file_info(path)]
+    literal = filesystem.get_file_info(path)
+    if fixed == len(parts) or literal.type == pafs.FileType.File:
+        infos = [literal]
     else:
         level = ["/".join(parts[:fixed])]
         infos = []
         for depth, part in enumerate(parts[fixed:], start=fixed):
-            infos = []
-            for folder in level:
-                selector = pafs.FileSelector(folder or ".", allow_not_found=True)
-                infos += [
-                    info
-                    for info in filesystem.get_file_info(selector)
-                    if fnmatch.fnmatchcase(info.base_name, part)
-                    and (part.startswith(".") or not info.base_name.startswith("."))
-                ]
+            listed = _side_by_side(
+                lambda folder: filesystem.get_file_info(pafs.FileSelector(folder or ".", allow_not_found=True)), level
+            )
+            infos = [
+                info
+                for found in listed
+                for info in found
+                if fnmatch.fnmatchcase(info.base_name, part) and (part.startswith(".") or not info.base_name.startswith("."))
+            ]
             if depth < len(parts) - 1:
                 level = [info.path for info in infos if info.type == pafs.FileType.Directory]
     return {
@@ -107,12 +139,93 @@ def last_line_end(path: str, size: int, probe: int = PROBE_BYTES) -> int:
     return 0
 
 
+def first_line_end(path: str, begin: int, end: int, probe: int = PROBE_BYTES) -> int:
+    """Offset just after the first line break from ``begin`` on, ``end`` if there is none."""
+    filesystem, local = _filesystem(path)
+    with filesystem.open_input_file(local) as handle:
+        while begin < end:
+            handle.seek(begin)
+            found = handle.read(min(probe, end - begin)).find(b"\n")
+            if found >= 0:
+                return begin + found + 1
+            begin += probe
+    return end
+
+
+def head_digest(path: str, length: int) -> str:
+    """Digest of the first ``length`` bytes."""
+    filesystem, local = _filesystem(path)
+    with filesystem.open_input_file(local) as handle:
+        return hashlib.sha256(handle.read(length)).hexdigest()[:16]
+
+
+def as_entry(value) -> list:
+    """An offset entry ``[end, generation, head, digest]``; a bare number has no head to compare."""
+    return list(value) if isinstance(value, (list, tuple)) else [int(value), 0, 0, ""]
+
+
+def probe_file(path: str, state: tuple[int, int], known: list | None) -> list:
+    """The entry of a file up to its last line break, given the entry reached so far."""
+    size = state[0]
+    end, generation, head, digest = as_entry(known or 0)
+    # Offsets from elsewhere may have no head; then only the size tells.
+    if known is not None and (size < end or (head and head_digest(path, head) != digest)):
+        end, generation, head, digest = 0, generation + 1, 0, ""
+    stop = max(end, last_line_end(path, size))
+    grown = min(stop, HEAD_BYTES)
+    if grown > head:
+        head, digest = grown, head_digest(path, grown)
+    return [stop, generation, head, digest]
+
+
+def begin_of(start: list | None, end: list) -> int:
+    """Where a batch begins to read a file: where the last one ended, or at zero in a new generation."""
+    return start[0] if start is not None and start[1] == end[1] else 0
+
+
+def plan_batch(start: dict[str, list], ready: dict[str, list], max_bytes: int) -> dict[str, list]:
+    """Entries that one batch of at most ``max_bytes`` reaches; without a bound all that is ready.
+
+    Every file gets an equal share of what the smaller ones left over, cut at a line
+    break; a single line that is longer than the share goes whole, so each file with
+    something to read moves on as long as a byte is left.
+    """
+    planned = {path: [begin_of(start.get(path), entry), *entry[1:]] for path, entry in ready.items()}
+    waiting = sorted((entry[0] - planned[path][0], path) for path, entry in ready.items() if entry[0] > planned[path][0])
+    left = max_bytes if max_bytes > 0 else sum(size for size, _ in waiting)
+    for place, (size, path) in enumerate(waiting):
+        if left <= 0:
+            break
+        share = max(1, left // (len(waiting) - place))
+        begin, stop = planned[path][0], ready[path][0]
+        if size > share:
+            stop = last_line_end(path, begin + share)
+            stop = stop if stop > begin else first_line_end(path, begin, ready[path][0])
+        planned[path][0] = stop
+        left -= stop - begin
+    # A head that reaches past the planned end still names the same file.
+    return planned
+
+
 def split_range(path: str, start: int, end: int, split_bytes: int) -> list[FileRange]:
     return [
         FileRange(path, start, end, begin, min(begin + split_bytes, end)) for begin in range(start, end, split_bytes)
     ]
 
 
+def pack_ranges(ranges: list[FileRange], split_bytes: int) -> list[Ranges]:
+    """Tasks of about ``split_bytes``, ranges in their order: many small files share one."""
+    tasks, held = [], 0
+    for part in ranges:
+        size = part.end - part.begin
+        if not tasks or held + size > split_bytes:
+            tasks.append(Ranges([]))
+            held = 0
+        tasks[-1].ranges.append(part)
+        held += size
+    return tasks
+
+
 def _decode(chunk: bytes, breaks: np.ndarray) -> list[str]:
     """Lines of a chunk that ends with a line break, without their breaks."""
     try:
@@ -177,8 +290,10 @@ class _Options:
         raw = options.get("paths") or options.get("path") or "[]"
         self.patterns = json.loads(raw) if raw.startswith("[") else [raw]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.max_bytes = int(options.get("maxBytes", 0))
         self.final = options.get("final", "false").lower() == "true"
-        self.offsets = {path: int(end) for path, end in json.loads(options.get("offsets") or "{}").items()}
+        self.known = "offsets" in options
+        self.offsets = {path: as_entry(end) for path, end in json.loads(options.get("offsets") or "{}").items()}
 
     def files(self) -> dict[str, tuple[int, int]]:
         found: dict[str, tuple[int, int]] = {}
@@ -190,31 +305,44 @@ class _Options:
 class GrowingTextStream(DataSourceStreamReader):
     def __init__(self, options):
         self.options = _Options(options)
-        self._ends: dict[str, tuple[tuple[int, int], int]] = {}
+        self._reached = self.options.offsets
+        self._known = self.options.known  # whether ``_reached`` is where the stream stands
+        self._ready: dict[str, tuple[tuple[int, int], list]] = {}
 
     def initialOffset(self) -> dict:
+        self._known = True
         return {"files": self.options.offsets}
 
     def latestOffset(self) -> dict:
-        ends = {}
-        for path, state in self.options.files().items():
-            known = self._ends.get(path)
-            ends[path] = known if known and known[0] == state else (state, last_line_end(path, state[0]))
+        files, known = self.options.files(), self._ready
+        changed = [path for path, state in files.items() if path not in known or known[path][0] != state]
+        base = {path: known[path][1] if path in known else self._reached.get(path) for path in changed}
+        probed = _side_by_side(lambda path: (files[path], probe_file(path, files[path], base[path])), changed)
         # Files that are gone drop out, so the offset does not grow for ever.
-        self._ends = ends
-        return {"files": {path: end for path, (_, end) in ends.items()}}
-
-    def partitions(self, start: dict, end: dict) -> list[FileRange]:
+        self._ready = {path: known[path] for path in files if path in known} | dict(zip(changed, probed))
+        ready = {path: entry for path, (_, entry) in self._ready.items()}
+        return {"files": plan_batch(self._reached, ready, self.options.max_bytes if self._known else 0)}
+
+    def _begin(self, path: str, start: list | None, end: list) -> int:
+        if self._known or start is None:
+            return begin_of(start, end)
+        # The first batch after a restart, planned without knowing where the last one ended.
+        reached, _, head, digest = start
+        replaced = reached > end[0] or (head and head_digest(path, head) != digest)
+        return 0 if replaced else reached
+
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         parts = []
-        for path, stop in end["files"].items():
-            begin = start["files"].get(path, 0)
-            if begin > stop:
-                begin = 0
-            parts += split_range(path, begin, stop, self.options.split_bytes)
-        return parts
+        for path, entry in end["files"].items():
+            entry, before = as_entry(entry), start["files"].get(path)
+            begin = self._begin(path, None if before is None else as_entry(before), entry)
+            parts += split_range(path, begin, entry[0], self.options.split_bytes)
+        self._reached, self._known = {path: as_entry(entry) for path, entry in end["files"].items()}, True
+        return pack_ranges(parts, self.options.split_bytes)
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        return read_range(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from read_range(part)
 
 
 class GrowingTextBatch(DataSourceReader):
@@ -223,17 +351,17 @@ class GrowingTextBatch(DataSourceReader):
     def __init__(self, options):
         self.options = _Options(options)
 
-    def partitions(self) -> list[FileRange]:
-        parts = []
-        for path, (size, _) in self.options.files().items():
-            stop = size if self.options.final else last_line_end(path, size)
-            parts += split_range(path, 0, stop, self.options.split_bytes)
-        return parts
+    def partitions(self) -> list[Ranges]:
+        files = [(path, size) for path, (size, _) in self.options.files().items()]
+        stops = [size for _, size in files] if self.options.final else _side_by_side(lambda f: last_line_end(*f), files)
+        parts = [p for (path, _), stop in zip(files, stops) for p in split_range(path, 0, stop, self.options.split_bytes)]
+        return pack_ranges(parts, self.options.split_bytes)
 
-    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition)
-        if self.options.final and partition.end == partition.range_end:
-            yield from _unfinished_line(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for part in partition.ranges:
+            yield from read_range(part)
+            if self.options.final and part.end == part.range_end:
+                yield from _unfinished_line(part)
 
 
 def _unfinished_line(part: FileRange) -> Iterator[pa.RecordBatch]:
@@ -248,8 +376,9 @@ def _unfinished_line(part: FileRange) -> Iterator[pa.RecordBatch]:
 
 
 class GrowingText(DataSource):
-    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``final``, and for a
-    stream without a checkpoint ``offsets`` (JSON, path to end), from which it starts."""
+    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``maxBytes``, ``final``,
+    and ``offsets`` (JSON, path to entry or end): where a stream without a checkpoint starts, and from
+    where the first batch after a restart is measured."""
 
     @classmethod
     def name(cls) -> str:
@@ -270,17 +399,25 @@ def register(spark: SparkSession) -> None:
 
 
 def tail_growing_files(
-    spark: SparkSession, patterns: str | list[str], split_bytes: int = SPLIT_BYTES, offsets: dict[str, int] | None = None
+    spark: SparkSession,
+    patterns: str | list[str],
+    split_bytes: int = SPLIT_BYTES,
+    offsets: dict | None = None,
+    max_bytes: int = 0,
 ) -> DataFrame:
     """Streaming DataFrame of new complete lines in files matching the patterns.
 
     A stream without a checkpoint starts at ``offsets``, by full path; a file that is
-    not named there, or is shorter than its offset, starts at zero.
+    not named there, or is shorter than its offset, starts at zero.  With ``max_bytes`` a
+    batch takes about so many bytes and leaves the rest; a stream that restarts from a
+    checkpoint needs that checkpoint's offsets here, or its first batch has no bound.
     """
     register(spark)
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
     reader = spark.readStream.format(FORMAT).option("paths", json.dumps(patterns)).option("splitBytes", split_bytes)
-    return reader.option("offsets", json.dumps(offsets or {})).load()
+    if offsets is not None:
+        reader = reader.option("offsets", json.dumps(offsets))
+    return reader.option("maxBytes", max_bytes).load()
 
 
 def read_growing_files(

@@ -37,7 +37,7 @@ def new_build() -> str:
     return f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:12]}"
 
 
-def _files(spark: SparkSession, path: str):
+def hadoop_files(spark: SparkSession, path: str):
     """Hadoop's view of a folder: ``(FileSystem, Path)``."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     folder = hadoop.Path(path)
@@ -45,7 +45,7 @@ def _files(spark: SparkSession, path: str):
 
 
 def _names(spark: SparkSession, path: str) -> list[str]:
-    files, folder = _files(spark, path)
+    files, folder = hadoop_files(spark, path)
     return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
 
 
@@ -72,7 +72,7 @@ def manifest(spark: SparkSession, root: str, number: int | None = None) -> DataF
 def _commit(spark: SparkSession, root: str, number: int, token: str) -> bool:
     """Write commit ``number``; false if another build has it."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    files, folder = _files(spark, f"{root}/commits")
+    files, folder = hadoop_files(spark, f"{root}/commits")
     files.mkdirs(folder)
     waiting, target = (hadoop.Path(f"{root}/commits/{name}") for name in (f".{token}", f"{number:012d}.json"))
     out = files.create(waiting, True)
@@ -139,7 +139,7 @@ def vacuum(spark: SparkSession, root: str, tables: list[str], keep: int = 2) ->
     for table in tables:
         for name in _names(spark, f"{root}/{table}"):
             if name.startswith("build=") and name.removeprefix("build=") not in used:
-                files, folder = _files(spark, f"{root}/{table}/{name}")
+                files, folder = hadoop_files(spark, f"{root}/{table}/{name}")
                 files.delete(folder, True)
                 removed.append(f"{table}/{name}")
     return removed

@@ -9,7 +9,9 @@ from fieldlake.functions.rules import InstrumentRule, RuleSet, classify_lines
 from fieldlake.operators import consolidate as cs
 from fieldlake.operators import offsets
 from fieldlake.sources import bronze, reviews
-from fieldlake.sources.tail import FileRange, last_line_end, list_matches, read_growing_files, read_range, split_range
+from fieldlake.sources.tail import (
+    FileRange, GrowingTextStream, last_line_end, list_matches, pack_ranges, plan_batch, probe_file, read_growing_files, read_range, split_range,
+)
 from fieldlake.streaming import ingest, silver
 
 RULES = RuleSet([InstrumentRule("A", 1, patterns={0: "^[0-9]"})])
@@ -173,8 +175,6 @@ def test_lines_of_a_batch_without_statistics_are_read_again(spark, lake):
     (lake.source / "a.txt").write_bytes(b"1\n2\n")
     lake.run()
     assert set(ingest.landed_offsets(spark, lake.path, "A").values()) == {4}
-    none = bronze.read_bronze_stats(spark, f"{lake.path}/bronze_stats").limit(0)
-    none.write.parquet(f"{lake.path}/other/bronze_stats")
     lake.bronze().write.partitionBy(*bronze.PARTITIONS).parquet(f"{lake.path}/other/bronze")
     assert ingest.landed_offsets(spark, f"{lake.path}/other", "A") == {}
     saved = spark.createDataFrame([("A", "x", 7), ("B", "y", 8)], "instrument_id string, file string, offset bigint")
@@ -182,6 +182,95 @@ def test_lines_of_a_batch_without_statistics_are_read_again(spark, lake):
     assert ingest.landed_offsets(spark, f"{lake.path}/nothing", "A") == {}
 
 
+def test_a_half_landed_batch_is_replaced_after_the_checkpoint_is_lost(spark, lake, monkeypatch):
+    source = lake.source / "a.txt"
+    source.write_bytes(b"1\n2\n")
+    lake.run()
+    source.write_bytes(b"1\n2\n3\n4\n")
+    with monkeypatch.context() as broken:
+        broken.setattr(bronze, "write_bronze_stats", lambda *a: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(Exception, match="disk"):
+            lake.run()
+    assert sorted(line for *_, line in lake.landed()) == ["1", "2", "3", "4"]  # lines are there, the batch did not end
+    assert set(ingest.landed_offsets(spark, lake.path, "A").values()) == {4}
+    lake.run("new")
+    assert sorted(line for *_, line in lake.landed()) == ["1", "2", "3", "4"]
+    assert set(ingest.landed_offsets(spark, lake.path, "A").values()) == {8}
+    ranges = [(r.range_start, r.range_end, r.lines) for r in bronze.read_ledger(spark, f"{lake.path}/ledger").orderBy("range_start").collect()]
+    assert ranges == [(0, 4, 2), (4, 8, 2)]
+
+
+def test_a_backlog_takes_several_batches_and_no_line_twice(spark, lake):
+    rng = random.Random(5)
+    want = []
+    for name in ("a", "b", "old"):
+        lines = [f"{rng.randrange(10**6)},{name}{n}" for n in range(rng.randrange(20, 60))]
+        (lake.source / f"{name}.txt").write_text("".join(f"{line}\n" for line in lines) + "unfinished")
+        want += lines
+    entry = spark.createDataFrame([("A", 0, "growing_file", [f"{lake.source}/*.txt"], None)], "instrument_id string, ordinal int, ingestion_type string, globs array<string>, active boolean")
+    done = ingest.ingest_pass(spark, entry, lake.path, f"{lake.path}/cp", RULES, max_bytes=600).first()
+    assert sorted(line for *_, line in lake.landed()) == sorted(want)
+    sizes = [r.n for r in lake.bronze().groupBy("batch_id").agg(F.sum(F.length("line") + 1).alias("n")).collect()]
+    assert done.instrument_status == "ok" and done.batches_written == len(sizes) >= 3 and max(sizes) <= 600
+    assert {f.split("/")[-1]: n for f, n in done.files.items()} == {f"{n}.txt": (lake.source / f"{n}.txt").stat().st_size - 10 for n in ("a", "b", "old")}
+
+
+def test_plans_share_the_bytes_of_a_batch(tmp_path):
+    ready = {}
+    for name, lines in (("big", 100), ("small", 2), ("long", 1)):
+        path = tmp_path / name
+        path.write_bytes((b"x" * (500 if name == "long" else 9) + b"\n") * lines)
+        ready[str(path)] = probe_file(str(path), (path.stat().st_size, 0), None)
+    big, small, long = (str(tmp_path / n) for n in ("big", "small", "long"))
+    plan = plan_batch({}, ready, 300)
+    assert plan[small][0] == 20 and plan[long][0] == 501 and plan[big][0] == 0
+    plan = plan_batch(plan, ready, 300)
+    assert plan[big][0] == 300 and plan_batch(plan, ready, 0)[big][0] == 1000
+    assert plan_batch(plan, ready, 5)[big][0] == 310  # a line longer than the share goes whole
+    parts = pack_ranges([FileRange(str(i), 0, 10, 0, 10) for i in range(100)] + [FileRange("b", 0, 250, 0, 100)], 100)
+    assert [len(p.ranges) for p in parts] == [10] * 10 + [1]
+
+
+def test_a_file_replaced_by_a_larger_one_loses_no_line(spark, lake):
+    source = lake.source / "a.txt"
+    source.write_bytes(b"1\n2\n")
+    lake.run()
+    source.write_bytes(b"5\n6\n7\n8\n")
+    lake.run()
+    assert [line for *_, line in lake.landed()] == ["1", "2", "5", "6", "7", "8"]
+    source.write_bytes(b"9\n6\n7\n8\n")  # of the same size
+    lake.run()
+    source.write_bytes(b"9\n6\n7\n8\n3\n")  # the same file, grown
+    lake.run()
+    assert [line for *_, line in lake.landed()] == ["1", "2", "5", "6", "7", "8", "9", "6", "7", "8", "3"]
+
+
+def test_a_restart_without_offsets_tells_replaced_files_by_their_head(tmp_path):
+    path = tmp_path / "a.txt"
+    path.write_bytes(b"1\n2\n")
+    options = {"path": str(path), "maxBytes": "2"}
+    first = GrowingTextStream(options)
+    start = first.initialOffset()
+    end = first.latestOffset()
+    assert [r.end for t in first.partitions(start, end) for r in t.ranges] == [2]
+    end = first.latestOffset()
+    path.write_bytes(b"1\n2\n3\n")
+    again = GrowingTextStream(options)
+    assert [(r.begin, r.end) for t in again.partitions(end, again.latestOffset()) for r in t.ranges] == [(4, 6)]
+    path.write_bytes(b"7\n8\n9\n0\n")
+    other = GrowingTextStream(options)
+    assert [(r.begin, r.end) for t in other.partitions(end, other.latestOffset()) for r in t.ranges] == [(0, 8)]
+
+
+def test_names_with_pattern_signs_and_file_urls(tmp_path):
+    for name in ("a[1].txt", "a1.txt", "b?.txt"):
+        (tmp_path / name).write_text("x\n")
+    assert [p.split("/")[-1] for p in list_matches(f"{tmp_path}/a[1].txt")] == ["a[1].txt"]
+    assert [p.split("/")[-1] for p in list_matches(f"{tmp_path}/b?.txt")] == ["b?.txt"]
+    assert list(list_matches(f"file://{tmp_path}/a1.txt")) == [f"file://{tmp_path}/a1.txt"]
+    assert sorted(list_matches(f"file:{tmp_path}/a*.txt")) == [f"file:{tmp_path}/a1.txt", f"file:{tmp_path}/a[1].txt"]
+
+
 def test_a_file_cut_and_grown_to_the_same_end_makes_other_objects(spark, lake):
     source = lake.source / "a.txt"
     for content in (b"7\n", b"", b"5\n"):
