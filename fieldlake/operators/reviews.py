@@ -1,8 +1,9 @@
 """Review items: validation, matching by row key or time range, attachment.
 
 *Rows* carry ``instrument_id, row_key, ts``; *items* follow
-``sources.reviews.ITEM_SCHEMA``.  Match results are pairs of a row key and an
-item; only the items that apply to a row are ever brought together.
+``sources.reviews.ITEM_SCHEMA``.  Match results are pairs of a row key and an item
+key; only keys and bounds take part in a match, and the items themselves join the
+pairs that are left.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ RANGE_NEEDS_BOUNDS = "Time range flags require start_time and end_time"
 FLAG_NEEDS_ROWS = "Selected row flags require row_key or row_keys"
 CORRECTION_NEEDS_VALUES = "Corrections require row_key and corrected_values"
 
-# Time cells are days, then 64, 64^2 and 64^3 days.
-_FAN_OUT = 64
-_LEVELS = 4
-_FIRST_DAY, _LAST_DAY = -719162, 2932896  # 0001-01-01 and 9999-12-31
-SALT = 8
+# Time cells hold 8^level seconds: 1 s, 8 s, 64 s, 9 min, 1.1 h, 9.1 h, 3 days ... 17,000 years.
+_TOP = 13
+# Open ranges, and the longest closed ones, are covered down to cells of 1.1 and 9.1 hours.
+_OPEN_LEVEL, _COARSEST = 4, 5
+_FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799  # years 1 to 9999
 
 
 def active_items(items: DataFrame) -> DataFrame:
@@ -42,54 +43,63 @@ def _item(items: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in items.columns])
 
 
-def match_by_row_key(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Pairs ``instrument_id, row_key, _s3_key, item`` of items that name the row."""
+def named_keys(items: DataFrame) -> DataFrame:
+    """``instrument_id, _s3_key, row_key`` of every row that an active item names."""
     listed = F.coalesce("row_keys", F.array().cast("array<string>"))
     keys = F.array_distinct(F.array_compact(F.concat(listed, F.array(F.nullif(F.col("row_key"), F.lit(""))))))
-    named = active_items(items).select(
-        "instrument_id", ITEM_KEY, _item(items).alias("item"), F.explode(keys).alias("row_key")
-    )
-    return rows.select(*ROW).join(named, ROW).select(*ROW, ITEM_KEY, "item")
+    return active_items(items).select("instrument_id", ITEM_KEY, F.explode(keys).alias("row_key"))
 
 
-def _day(ts: Column) -> Column:
-    return F.datediff(ts, F.lit("1970-01-01").cast("date"))
+def match_by_row_key(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs ``instrument_id, row_key, _s3_key`` of rows and the items that name them."""
+    return rows.select(*ROW).join(named_keys(items), ROW).select(*ROW, ITEM_KEY)
 
 
-def _span(low: Column, high: Column) -> Column:
-    empty = F.array().cast("array<bigint>")
-    return F.when(low <= high, F.sequence(low.cast("bigint"), high.cast("bigint"))).otherwise(empty)
+def _seconds(ts: Column) -> Column:
+    return F.unix_seconds(ts.cast("timestamp"))
 
 
-def _with_cells(ranges: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Add ``_cell``: one row per cell of a cover of the days ``first`` to ``last``.
+def range_cells(ranges: DataFrame) -> DataFrame:
+    """``instrument_id, _s3_key, _from, _to, _level, _cell``: each range as disjoint cells.
 
-    The cells are disjoint and hold exactly those days.  Days that fill a whole
-    cell of the next level move up to it, so any range, an open one included,
-    needs at most a few hundred cells.  Each level is a column of its own, which
-    keeps the expressions short.
+    The finest cells of a range are an eighth of it or less, so a cover reaches past the
+    range by at most a quarter of its length; full groups of eight become one cell of
+    the next level, so a range has at most 14 cells on a level.  With L and H the first
+    and last finest cell, the cells that level k can fill are ceil(L / 8^k) to
+    floor((H + 1) / 8^k) - 1, and those of them that level k + 1 fills are left to it.  Bounds in the wrong order
+    have no cells, or one that no row passes.
     """
-    df = ranges.withColumns({"_low": first.cast("bigint"), "_high": last.cast("bigint")})
-    low, high = F.col("_low"), F.col("_high")
-    levels = []
-    for level in range(_LEVELS):
-        days = f"_days{level}"
-        levels.append(days)
-        if level == _LEVELS - 1:
-            df = df.withColumn(days, _span(low, high))
-            break
-        df = df.withColumns({"_up": F.ceil(low / _FAN_OUT), "_down": F.floor((high + 1) / _FAN_OUT) - 1})
-        up, down = F.col("_up"), F.col("_down")
-        edges = F.concat(_span(low, up * _FAN_OUT - 1), _span((down + 1) * _FAN_OUT, high))
-        df = df.withColumn(days, F.when(up <= down, edges).otherwise(_span(low, high)))
-        # An empty span ends the climb.
-        df = df.withColumns({"_low": F.when(up <= down, up).otherwise(1), "_high": F.when(up <= down, down).otherwise(0)})
-    cells = F.concat(*[F.transform(F.col(days), _at_level(level)) for level, days in enumerate(levels)])
-    return df.withColumn("_cell", F.explode(cells)).drop("_low", "_high", "_up", "_down", *levels)
-
-
-def _at_level(level: int):
-    return lambda cell: F.struct(F.lit(level).alias("level"), cell.alias("cell"))
+    closed = F.col("_from").isNotNull() & F.col("_to").isNotNull()
+    length = F.greatest(F.lit(1), _seconds(F.col("_to")) - _seconds(F.col("_from")) + 1)
+    fitting = F.greatest(F.lit(0), F.least(F.lit(_COARSEST), F.floor(F.log2(length) / 3) - 1))
+    covered = (
+        ranges.withColumn("_finest", F.when(closed, fitting).otherwise(_OPEN_LEVEL).cast("int"))
+        .withColumns(
+            {
+                "_low": F.floor(F.coalesce(_seconds(F.col("_from")), F.lit(_FIRST_SECOND)) / F.expr("shiftleft(1L, 3 * _finest)")),
+                "_high": F.floor(F.coalesce(_seconds(F.col("_to")), F.lit(_LAST_SECOND)) / F.expr("shiftleft(1L, 3 * _finest)")),
+                "_level": F.explode(F.sequence("_finest", F.lit(_TOP))),
+            }
+        )
+    )
+    ups = "shiftleft(1L, 3 * (_level - _finest))"
+    covered = covered.withColumns(
+        {
+            "_first": F.expr(f"ceil(_low / {ups})"),
+            "_last": F.expr(f"floor((_high + 1) / {ups}) - 1"),
+            "_first_up": F.expr(f"ceil(_low / (8 * {ups}))"),
+            "_last_up": F.expr(f"floor((_high + 1) / (8 * {ups})) - 1"),
+        }
+    )
+    none = F.array().cast("array<bigint>")
+
+    def span(first: Column, last: Column) -> Column:
+        return F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint"))).otherwise(none)
+
+    first, last, first_up, last_up = (F.col(c) for c in ("_first", "_last", "_first_up", "_last_up"))
+    edges = F.concat(span(first, first_up * 8 - 1), span((last_up + 1) * 8, last))
+    cells = F.when((first_up <= last_up) & (F.col("_level") < _TOP), edges).otherwise(span(first, last))
+    return covered.select("instrument_id", ITEM_KEY, "_from", "_to", "_level", F.explode(cells).alias("_cell"))
 
 
 def range_items(items: DataFrame) -> DataFrame:
@@ -101,43 +111,39 @@ def range_items(items: DataFrame) -> DataFrame:
     return with_times(timed.withColumn("_end", end), "_end", compare="_to").drop("_start", "_end")
 
 
-def match_by_time_range(rows: DataFrame, items: DataFrame, ts: str = "ts", salt: int = SALT) -> DataFrame:
-    """Pairs of rows and active range items with ``start <= time <= end``.
+def _inside() -> Column:
+    return (F.col("_from").isNull() | (F.col("_ts") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_ts") <= F.col("_to")))
 
-    An interval join as an equi-join: the days of an item are covered by
-    disjoint cells of four sizes, a row looks for its own cell of each size, and
-    the exact bounds are tested on what meets.  A pair can meet in one cell only.
-    Cells are salted by row so that a busy instrument or day is spread out.
+
+def meet_by_time(rows: DataFrame, items: DataFrame, ts: str, how: str, exact: bool = True) -> DataFrame:
+    """Rows and range items that share a cell; with ``exact`` only those whose bounds hold.
+
+    A row looks for its cell on the levels that ranges of its instrument have, so rows
+    of an instrument without ranges drop out at once.  The join has plain keys: a cell
+    with very many rows is split at run time by the sizes that Spark measures
+    (``spark.sql.adaptive.skewJoin``).  A pair can meet in one cell only.
     """
-    ranges = range_items(items).select("instrument_id", ITEM_KEY, _item(items).alias("item"), "_from", "_to")
-    first = F.coalesce(_day(F.col("_from")), F.lit(_FIRST_DAY))
-    last = F.coalesce(_day(F.col("_to")), F.lit(_LAST_DAY))
-    cells = (
-        _with_cells(ranges, first, last)
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salt)])))
-        .select(
-            "instrument_id", "_salt", F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_slot"),
-            ITEM_KEY, "item", "_from", "_to",
-        )
-    )
-    day = _day(F.col("_ts")).cast("bigint")
-    own = F.array(
-        *[
-            F.struct(F.lit(level).alias("level"), F.floor(day / _FAN_OUT**level).cast("bigint").alias("cell"))
-            for level in range(_LEVELS)
-        ]
-    )
+    cells = range_cells(range_items(items).select("instrument_id", ITEM_KEY, "_from", "_to"))
+    levels = cells.groupBy("instrument_id").agg(F.collect_set("_level").alias("_levels"))
     timed = (
         rows.select(*ROW, F.col(ts).alias("_ts"))
         .filter("_ts is not null")
-        .withColumn("_salt", F.pmod(F.xxhash64("row_key"), F.lit(salt)).cast("bigint"))
-        .withColumn("_cell", F.explode(own))
-        .select(*ROW, "_ts", "_salt", F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_slot"))
+        .join(levels, "instrument_id")
+        .withColumn("_second", _seconds(F.col("_ts")))
+        .withColumn("_level", F.explode("_levels"))
+        .withColumn("_cell", F.expr("floor(_second / shiftleft(1L, 3 * _level))"))
+        .select(*ROW, "_ts", "_level", "_cell")
+        .alias("row")
     )
-    inside = (F.col("_from").isNull() | (F.col("_ts") >= F.col("_from"))) & (
-        F.col("_to").isNull() | (F.col("_ts") <= F.col("_to"))
-    )
-    return timed.join(cells, ["instrument_id", "_salt", "_level", "_slot"]).filter(inside).select(*ROW, ITEM_KEY, "item")
+    shared = [F.col(f"row.{c}") == F.col(f"range.{c}") for c in ("instrument_id", "_level", "_cell")]
+    on = shared[0] & shared[1] & shared[2] & (_inside() if exact else F.lit(True))
+    kept = [F.col("row.instrument_id"), F.col("row.row_key")]
+    return timed.join(cells.alias("range"), on, how).select(*kept, *([] if how == "left_semi" else [F.col(ITEM_KEY)]))
+
+
+def match_by_time_range(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+    """Pairs ``instrument_id, row_key, _s3_key`` of rows and active range items with ``start <= time <= end``."""
+    return meet_by_time(rows, items, ts, "inner")
 
 
 def match_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
@@ -157,7 +163,8 @@ def _sorted_items(matched: Column, kind: str) -> Column:
 
 def attach_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
     """Every row with arrays ``flags`` and ``corrections`` (listing order) and ``status``."""
-    per_row = match_reviews(rows, items, ts).groupBy(*ROW).agg(
+    item = active_items(items).select("instrument_id", ITEM_KEY, _item(items).alias("item")).dropDuplicates(["instrument_id", ITEM_KEY])
+    per_row = match_reviews(rows, items, ts).join(item, ["instrument_id", ITEM_KEY]).groupBy(*ROW).agg(
         F.collect_list(F.struct(ITEM_KEY, "item")).alias("_matched")
     )
     none = F.array().cast(per_row.schema["_matched"].dataType)
@@ -174,18 +181,19 @@ def record_status(flag_count: Column, correction_count: Column) -> Column:
     return F.when(correction_count > 0, "corrected").when(flag_count > 0, "flagged").otherwise("normal")
 
 
+def reviewed_keys(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+    """Keys of rows that some active item applies to; a row stops at its first range on a level, no pairs are built."""
+    return named_keys(items).select(*ROW).unionByName(meet_by_time(rows, items, ts, "left_semi"))
+
+
 def flagged_rows(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows some active item applies to."""
-    by_key = match_by_row_key(rows, items).select(*ROW)
-    by_time = match_by_time_range(rows, items, ts).select(*ROW)
-    return rows.join(by_key.unionByName(by_time), ROW, "left_semi")
+    return rows.join(reviewed_keys(rows, items, ts), ROW, "left_semi")
 
 
 def unflagged_rows(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows no active item applies to."""
-    by_key = match_by_row_key(rows, items).select(*ROW)
-    by_time = match_by_time_range(rows, items, ts).select(*ROW)
-    return rows.join(by_key.unionByName(by_time), ROW, "left_anti")
+    return rows.join(reviewed_keys(rows, items, ts), ROW, "left_anti")
 
 
 def _missing(c: str) -> Column:

@@ -143,3 +143,44 @@ def test_items_survive_storage_and_broken_json_is_skipped(spark, tmp_path):
     (docs / "b.json").write_text("{broken")
     got = read_review_items(spark, str(tmp_path / "docs"), documents=True).collect()
     assert [(r.id, r.row_keys, r._s3_key.endswith("/a.json")) for r in got] == [("9", ["x"], True)]
+
+
+def bounds_df(spark, ranges):
+    return spark.createDataFrame([("A", str(i), a, b) for i, (a, b) in enumerate(ranges)], "instrument_id string, _s3_key string, _from timestamp_ntz, _to timestamp_ntz")
+
+
+def test_covers_are_disjoint_small_and_barely_larger_than_their_range(spark):
+    rng = random.Random(7)
+    ranges = [(BASE, BASE), (BASE, BASE - timedelta(seconds=1)), (BASE - timedelta(days=20000), BASE)]
+    for _ in range(60):
+        low = BASE + timedelta(seconds=rng.randrange(10**9))
+        ranges.append((low, low + timedelta(seconds=int(10 ** rng.uniform(0, 8.5)))))
+    covers = {}
+    for r in rv.range_cells(bounds_df(spark, ranges)).collect():
+        covers.setdefault(int(r["_s3_key"]), []).append((r["_cell"] * 8 ** r["_level"], (r["_cell"] + 1) * 8 ** r["_level"]))
+    zero = datetime(1970, 1, 1)
+    for i, (low, high) in enumerate(ranges):
+        if low > high:
+            continue
+        cells = sorted(covers[i])
+        begin, end = int((low - zero).total_seconds()), int((high - zero).total_seconds()) + 1
+        assert all(a[1] == b[0] for a, b in zip(cells, cells[1:])) and len(cells) <= 14 * 9
+        assert cells[0][0] <= begin and cells[-1][1] >= end
+        assert cells[-1][1] - cells[0][0] <= 1.25 * (end - begin) + 2
+
+
+def test_open_ranges_reach_from_the_first_year_to_the_last(spark):
+    rows = [("A", "first", datetime(1, 1, 1)), ("A", "mid", BASE), ("A", "after", BASE + timedelta(microseconds=1)), ("A", "last", datetime(9999, 12, 31, 23, 59, 59, 999999)), ("B", "other", BASE)]
+    items = [{"_s3_key": n, "type": "flag", "instrument_id": "A", "scope": "time_range", "start_time": a, "end_time": b}
+             for n, a, b in (("till", None, BASE.isoformat()), ("from", BASE.isoformat(), None), ("all", None, None))]
+    got = {(r.row_key, r["_s3_key"]) for r in rv.match_by_time_range(rows_df(spark, rows), items_df(spark, items)).collect()}
+    every = {"first", "mid", "after", "last"}
+    assert got == {("first", "till"), ("mid", "till"), *((k, "from") for k in every - {"first"}), *((k, "all") for k in every)}
+
+
+def test_candidates_are_few_and_the_join_needs_no_salt(spark):
+    rows, items, _ = sample(5, n_rows=2000, n_items=200)
+    df, it = rows_df(spark, rows), items_df(spark, items).filter("start_time > '1' and coalesce(end_time, `end`) > '1' and start_time <> 'soon'")
+    met = rv.meet_by_time(df, it, "ts", "inner", exact=False).count()
+    true = rv.match_by_time_range(df, it).count()
+    assert true <= met <= 2 * true
