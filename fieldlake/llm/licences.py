@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.arrow import keyed_text, slices
-from fieldlake.llm.pieces import mix, run_hashes
+from fieldlake.llm.pieces import separate_hashes
 
 # Base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -81,7 +81,7 @@ def words_of(texts: list[str]) -> Words:
     change = np.flatnonzero(np.diff(_WORD_BYTES[codes], prepend=False, append=False))
     begin, end = change[::2], change[1::2]
     starts = np.cumsum([0] + [len(b) + 1 for b in blobs])
-    return Words(flat, begin, end, mix(run_hashes(codes, begin, end)), np.searchsorted(begin, starts))
+    return Words(flat, begin, end, separate_hashes(codes, begin, end), np.searchsorted(begin, starts))
 
 
 def places(words: Words, phrase: list[bytes], hashes: np.ndarray) -> np.ndarray:

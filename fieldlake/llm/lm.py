@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.arrow import keyed_text, slices
-from fieldlake.llm.pieces import mix, run_hashes
+from fieldlake.llm.pieces import mix, separate_hashes
 from fieldlake.llm.staging import stage
 
 BACKOFF = 0.4
@@ -41,7 +41,7 @@ def word_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     change = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     begin, end = change[::2], change[1::2]
     starts = np.cumsum([0] + [len(b) + 1 for b in blobs])
-    return mix(run_hashes(flat, begin, end)), np.diff(np.searchsorted(begin, starts))
+    return separate_hashes(flat, begin, end), np.diff(np.searchsorted(begin, starts))
 
 
 def grams_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

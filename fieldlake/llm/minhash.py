@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldlake.llm.arrow import keyed_text, slices
-from fieldlake.llm.pieces import mix, run_hashes
+from fieldlake.llm.pieces import mix, separate_hashes
 
 SHINGLE, PERMUTATIONS = 5, 256
 BUCKET_ROWS, MAX_BUCKETS = 1024, 1 << 16
 
 _rng = np.random.default_rng(20)
 MULTIPLIERS = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+SCRAMBLE = np.uint32(0x9E3779B1)
 SHIFTS = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)
 PLACES = _rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -38,7 +39,7 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     gap = (flat == 0x20) | (flat - np.uint8(9) <= 4)
     change = np.flatnonzero(np.diff(gap, prepend=True, append=True))
     begin, end = change[::2], change[1::2]
-    words = mix(run_hashes(flat, begin, end))
+    words = separate_hashes(flat, begin, end)
     starts = np.cumsum([0] + [len(b) + 1 for b in blobs])
     counts = np.diff(np.searchsorted(begin, starts))
     firsts = np.cumsum(counts) - counts
@@ -63,7 +64,12 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str]) -> np.ndarray:
-    """A row of the minima's low bytes for each text; a text without words has all bits set."""
+    """A row of one byte of each permutation's minimum for each text; a text without words has all bits set.
+
+    The minimum is multiplied once more and gives its top byte, which depends on all its
+    bits; its own top byte would be zero for most long texts, its low byte would follow
+    from the low bytes of the hashes.
+    """
     hashes, counts = shingle_hashes(texts)
     out = np.full((len(texts), PERMUTATIONS), 0xFF, dtype=np.uint8)
     some = np.flatnonzero(counts)
@@ -73,7 +79,7 @@ def signatures(texts: list[str]) -> np.ndarray:
         with np.errstate(over="ignore"):
             for k in range(PERMUTATIONS):
                 least = np.minimum.reduceat(values * MULTIPLIERS[k] + SHIFTS[k], begin)
-                out[some, k] = least & np.uint32(0xFF)
+                out[some, k] = least * SCRAMBLE >> np.uint32(24)
     return out
 
 

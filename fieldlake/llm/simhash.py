@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from fieldlake.llm import golay
 from fieldlake.llm.arrow import keyed_text, slices
 from fieldlake.llm.components import components
-from fieldlake.llm.staging import stage
+from fieldlake.llm.staging import bounded_batches, fresh, stage
 
 SHINGLE, MAX_DISTANCE, SEED = 3, 3, 42
 WIDTHS = (22, 21, 21)
@@ -125,8 +125,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """The rows of ``df``, all columns, that stay if one row of each component is kept.
 
     The smallest id stays (null ids last), of rows with one id the one with the
-    smaller content hash, and of wholly equal rows one.
+    smaller content hash, and of wholly equal rows one.  A null or empty text has the
+    fingerprint zero, like any other text without words.  Columns may have any name.  An
+    empty table stays empty.
     """
+    bounded_batches(df.sparkSession)
     names, content = df.columns, F.xxhash64(*df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +144,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     # per fingerprint first, so that a component with very many rows meets only as one row for each
     best = distinct.groupBy("fp").agg(F.min(order).alias("best"))
     per_component = best.join(component_of(marked, max_distance), "fp").groupBy("component").agg(F.min("best").alias("best"))
-    winners = per_component.select(F.col("best.doc_id").alias("_id"), F.col("best.content").alias("_content"), F.col("best.copies").alias("_copies"))
+    row, name, same, copies = fresh(df, "row_hash", "kept_id", "kept_hash", "kept_copies")
+    winners = per_component.select(F.col("best.doc_id").alias(name), F.col("best.content").alias(same), F.col("best.copies").alias(copies))
     winners = stage(winners, "simhash-kept")
-    kept = df.withColumn("_row", content).join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_content")))
-    once = kept.where(F.col("_copies") == 1).select(*names)
-    return once.unionByName(kept.where(F.col("_copies") > 1).select(*names).dropDuplicates())
+    kept = df.withColumn(row, content).join(winners, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(row) == F.col(same)))
+    once = kept.where(F.col(copies) == 1).select(*names)
+    return once.unionByName(kept.where(F.col(copies) > 1).select(*names).dropDuplicates())

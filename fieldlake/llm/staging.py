@@ -20,3 +20,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Cut the Arrow batches of this session by bytes: rows of long texts make large batches by count."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, in any spelling of case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

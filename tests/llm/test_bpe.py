@@ -58,3 +58,8 @@ def test_round_trip_with_nulls_repeats_and_clashing_names(spark):
 
 def test_empty_table(spark):
     assert encode_decode(spark.createDataFrame([], "doc_id long, text string"), RANKS).collect() == []
+
+
+def test_long_patterns_of_two_letters_are_told_apart():
+    texts = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for n in (1024, 2048) for k in (0, 1)]
+    assert runs(*Encoder(Vocabulary.parse(open(RANKS, "rb").read())).encode(texts)) == [library().encode_ordinary(t) for t in texts]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from fieldlake.llm import minhash
-from fieldlake.llm.minhash import edited, fingerprint_edits, shingle_hashes, signatures
+from fieldlake.llm.minhash import edited, fingerprint_edits, likeness, shingle_hashes, signatures
 
 
 def shingle_list(text):
@@ -74,3 +74,15 @@ def test_edits_against_a_sorted_list(spark, monkeypatch, name):
 
 def test_empty_table(spark):
     assert fingerprint_edits(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_texts_that_differ_have_fingerprints_that_differ():
+    prints = signatures([f"word{i}" for i in range(2000)])
+    assert len({p.tobytes() for p in prints}) == 2000
+    assert likeness(prints[:-1], prints[1:]).max() < 0.2
+
+
+def test_long_patterns_of_two_letters_are_different_words():
+    morse = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(4096)) for k in (0, 1)]
+    hashes, _ = shingle_hashes(morse)
+    assert hashes[0] != hashes[1]

@@ -124,3 +124,11 @@ def test_one_row_of_each_class_stays(spark):
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert len(got) == len(set(group)) and sorted(str(i) for i, _ in got) == sorted(str(least[g]) for g in set(group))
     assert keep_one(df.limit(0)).collect() == [] and near_duplicates(df.limit(0)).collect() == []
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    rows = [(i, f"one two three four five {i // 2}", 10 + i, 20 + i, 30 + i, 40 + i) for i in range(6)] + [(0, "one two three four five 0", 10, 20, 30, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_hash long, kept_id long, Kept_Hash long, kept_copies long")
+    kept = keep_one(df, shingle=3, max_distance=0)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[4]]
