@@ -56,15 +56,26 @@ def ingest_stream(spark, sf):
 
 
 @query(
-    "stream_status",
-    """SELECT 'first' AS pass, event_type AS instrument_id, 'ok' AS instrument_status, 1::BIGINT AS batches_written FROM events GROUP BY 2
-    UNION ALL SELECT 'second', event_type, 'ok', 0 FROM events GROUP BY 2
-    UNION ALL SELECT p, 'feed', 'error', 0 FROM (VALUES ('first'), ('second')) t(p)""",
+    "run_status_of_passes",
+    """SELECT 'first' AS pass, event_type AS instrument_id, 'ok' AS instrument_status, 1::BIGINT AS batches_written, count(DISTINCT ts::DATE) > 0 AS has_offsets
+      FROM events GROUP BY 2
+    UNION ALL SELECT 'second', event_type, 'ok', 0, true FROM events GROUP BY 2
+    UNION ALL SELECT p, 'feed', 'error', 0, false FROM (VALUES ('first'), ('second')) t(p)""",
 )
-def stream_status(spark, sf):
+def run_status_of_passes(spark, sf):
     lake = landed_lake(spark, sf)
     passes = [spark.read.parquet(f"{lake}/passes/{p}").withColumn("pass", F.lit(p)) for p in ("first", "second")]
-    return passes[0].unionByName(passes[1]).select("pass", "instrument_id", "instrument_status", "batches_written")
+    offsets = F.coalesce(F.size("files") > 0, F.lit(False)).alias("has_offsets")
+    return passes[0].unionByName(passes[1]).select("pass", "instrument_id", "instrument_status", "batches_written", offsets)
+
+
+@query(
+    "stream_status",
+    f"""WITH {EV} SELECT instrument_id, 0::BIGINT AS batch_id, count(*) AS input_rows, sum(octet_length(encode(line)) + 1)::BIGINT AS input_bytes
+    FROM ev GROUP BY 1""",
+)
+def stream_status(spark, sf):
+    return ingest.stream_status(spark, landed_lake(spark, sf)).select("instrument_id", "batch_id", "input_rows", "input_bytes")
 
 
 @query(

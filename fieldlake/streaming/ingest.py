@@ -173,11 +173,14 @@ def status_rows(spark: SparkSession, results: list[tuple], files: DataFrame | No
     return known.withColumns({"last_run": F.lit(now), "status": F.lit(overall)}).select(*columns)
 
 
-def stream_status(spark: SparkSession, queries: list[StreamingQuery]) -> DataFrame:
-    """One row per micro-batch of the given queries."""
-    rows = [
-        (q.name, p["batchId"], p["numInputRows"], None if q.exception() is None else str(q.exception()))
-        for q in queries
-        for p in q.recentProgress
-    ]
-    return spark.createDataFrame(rows, "query string, batch_id bigint, input_rows bigint, error string")
+def stream_status(spark: SparkSession, lake: str) -> DataFrame:
+    """One row per batch that ever ended: ``instrument_id, run_id, batch_id, input_rows, input_bytes, files, landed_at``.
+
+    Read from the ledger, which keeps every batch; a running query only remembers its latest.
+    """
+    return bronze.read_ledger(spark, f"{lake}/ledger").groupBy("instrument_id", "run_id", "batch_id").agg(
+        F.sum("lines").alias("input_rows"),
+        F.sum(F.col("range_end") - F.col("range_start")).alias("input_bytes"),
+        F.count_distinct("source_file").alias("files"),
+        F.max("ingest_ts").alias("landed_at"),
+    )

@@ -311,10 +311,17 @@ def test_a_pass_isolates_unsupported_and_inactive_instruments(spark, lake):
     assert ingest.status_rows(spark, [("A", "ok", 1, None)]).first().status == "ok"
 
 
-def test_stream_status_lists_micro_batches(spark, lake):
-    (lake.source / "a.txt").write_bytes(b"1\n2\n")
-    rows = ingest.stream_status(spark, [lake.run()]).collect()
-    assert [(r["query"], r.batch_id, r.error) for r in rows if r.input_rows] == [("ingest-A", 0, None)]
+def test_stream_status_lists_every_batch_that_ended(spark, lake):
+    for n in range(3):
+        (lake.source / f"{n}.txt").write_text("1\n" * (n + 1))
+        lake.run("other" if n == 2 else "cp")
+    rows = ingest.stream_status(spark, lake.path).orderBy("landed_at", "input_rows").collect()
+    assert [(r.instrument_id, r.input_rows, r.input_bytes, r.files) for r in rows] == [("A", 1, 2, 1), ("A", 2, 4, 1), ("A", 3, 6, 1)]
+    assert len({(r.run_id, r.batch_id) for r in rows}) == 3
+    many = spark.sql("select 'f' source_file, id range_start, id + 1 range_end, 1L lines, timestamp_ntz'2026-01-01 00:00:00' ingest_ts, 'B' instrument_id, 'r' run_id, id batch_id from range(150)")
+    bronze.write_ledger(many, f"{lake.path}/ledger")
+    assert ingest.stream_status(spark, lake.path).filter("instrument_id = 'B'").count() == 150
+
 
 
 def test_offset_tables(spark):
