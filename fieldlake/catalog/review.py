@@ -12,7 +12,7 @@ from fieldlake.operators import paging
 from fieldlake.operators import reviews as rv
 from fieldlake.operators.positions import assign_source_index
 from fieldlake.plans import browse
-from fieldlake.sources.silver import read_header, read_silver
+from fieldlake.sources.silver import read_header, read_silver, read_silver_stats
 
 INSTRUMENT = "error"
 START, END = "2024-01-05T00:00:00", "2024-01-25T12:00:00Z"
@@ -95,23 +95,16 @@ def browse_records(spark, sf):
 
 @query(
     "latest_summary",
-    f"""WITH {ROWS}, n AS (SELECT instrument_id, row_number() OVER (PARTITION BY instrument_id ORDER BY source_index DESC) AS k, * EXCLUDE (instrument_id) FROM rows_)
-    SELECT instrument_id, source_index, row_key, "timestamp", pos::VARCHAR AS event_id FROM n WHERE k <= 5""",
+    f"""WITH {ROWS}, n AS (
+      SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY source_index DESC) AS k,
+        count(*) OVER (PARTITION BY instrument_id) AS n FROM rows_)
+    SELECT instrument_id, (SELECT count(DISTINCT object_key) FROM rows_ r WHERE r.instrument_id = n.instrument_id) AS objects,
+      n AS bronze_rows, n AS silver_rows, source_index, row_key, "timestamp", pos::VARCHAR AS event_id FROM n WHERE k <= 5""",
 )
 def latest_summary(spark, sf):
     lake = event_lake(spark, sf)
-    silver, headers = read_silver(spark, lake), read_header(spark, lake)
-    parts = [
-        browse.latest_sample(silver, headers, event_type, 5).withColumn("instrument_id", F.lit(event_type))
-        for event_type in EVENT_TYPES
-    ]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged.select(
-        "instrument_id", "source_index", "row_key", "timestamp",
-        F.try_element_at("sample_values", F.lit("Event_ID")).alias("event_id"),
-    )
+    summary = browse.latest_summary(read_silver(spark, lake), read_header(spark, lake), read_silver_stats(spark, lake), 5)
+    return summary.withColumn("event_id", F.try_element_at("sample_values", F.lit("Event_ID"))).drop("sample_values")
 
 
 @query(

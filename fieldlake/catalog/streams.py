@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlake.catalog.registry import query
 from fieldlake.catalog.review import SUBMITTED, accepted_items
-from fieldlake.catalog.standins import EV, EVENT_RULES, EVENT_TYPES, event_lines
+from fieldlake.catalog.standins import EV, EVENT_RULES, event_lines
 from fieldlake.catalog.storage import once, raw_files
 from fieldlake.session import scratch_path, stage
 from fieldlake.sources import bronze, reviews
@@ -40,8 +40,9 @@ def landed_lake(spark, sf) -> str:
     root = raw_files(spark, sf)
 
     def run(path):
-        entries = [(t, i, "growing_file", [f"{root}/instrument_id={t}/*/*/*.txt"], None) for i, t in enumerate(EVENT_TYPES)]
-        entries += [("feed", 5, "api", [], True), ("spare", 6, "growing_file", [], False)]
+        types = sorted(r.instrument_id for r in event_lines(spark, sf).select("instrument_id").distinct().collect())
+        entries = [(t, i, "growing_file", [f"{root}/instrument_id={t}/*/*/*.txt"], None) for i, t in enumerate(types)]
+        entries += [("feed", len(types), "api", [], True), ("spare", len(types) + 1, "growing_file", [], False)]
         instruments = spark.createDataFrame(entries, CONFIG)
         for name in ("first", "second"):
             done = ingest.ingest_pass(spark, instruments, path, f"{path}/checkpoints", EVENT_RULES)

@@ -69,3 +69,21 @@ def latest_sample(silver: DataFrame, headers: DataFrame, instrument_id: str, lim
     return paging.in_order(named, "desc").select(
         "source_index", "row_key", "timestamp", sample_values(F.col("columns"), F.col("values"), columns).alias("sample_values")
     )
+
+
+def latest_summary(silver: DataFrame, headers: DataFrame, stats: DataFrame, limit: int = 5, columns: int = 6) -> DataFrame:
+    """Counts of every instrument and its latest rows, each with the values of its first columns.
+
+    Silver holds every index from 0, so the statistics say where the latest rows begin:
+    one join for all instruments, no sort of any of them.
+    """
+    counted = stats.select(
+        "instrument_id", F.col("bronze_objects").alias("objects"), F.col("data_rows_total").alias("bronze_rows"),
+        F.col("data_rows_unique").alias("silver_rows"),
+    )
+    latest = silver.join(counted, "instrument_id").filter(F.col("source_index") >= F.col("silver_rows") - limit)
+    named = latest.join(headers.select("instrument_id", "columns"), "instrument_id", "left")
+    return named.select(
+        "instrument_id", "objects", "bronze_rows", "silver_rows", "source_index", "row_key", "timestamp",
+        sample_values(F.col("columns"), F.col("values"), columns).alias("sample_values"),
+    )
