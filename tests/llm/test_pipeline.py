@@ -78,7 +78,7 @@ def test_stages_one_after_another(spark, tmp_path):
 def test_registered_and_runs_as_a_whole(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near-duplicates", "repeats", "packing"]
     registered = __spark_entry__.queries()
-    assert registered["pipeline"] is corpus_pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in registered) == 10
+    assert registered["pipeline"] is corpus_pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in registered) == 13
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
