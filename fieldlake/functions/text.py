@@ -25,12 +25,11 @@ DIGITS_PATTERN = r"^[0-9]+$"
 STEM_KEEP = r"[^A-Za-z0-9._-]+"
 
 # One CSV field after its leading comma: a quoted part with doubled quotes and
-# whatever follows the closing quote, or plain text up to the next comma.
+# whatever follows the closing quote, or plain text up to the next comma.  All
+# loops are possessive: they neither go back nor recurse, so that a line takes
+# time in proportion to its length and no stack, however many quotes it has.
 _CSV_FIELD = r',("[^"]*+(?:""[^"]*+)*+(?:"[^,]*+|$)|[^,]*+)'
 _QUOTED = r'^"([^"]*+(?:""[^"]*+)*+)(?:"([^,]*+))?$'
-# The field pattern recurses once per doubled quote, so lines with more quotes
-# than this are cut by a fold over their comma pieces instead.
-_REGEX_QUOTE_LIMIT = 400
 
 
 def _edges_hold(c: Column, front: str, back: str) -> Column:
@@ -112,78 +111,31 @@ def _unquote(field: Column) -> Column:
     ).otherwise(field)
 
 
-def _fold_quoted(line: Column) -> Column:
-    """Join the comma pieces of ``line`` into fields, keeping quoted commas.
+def raw_fields(line: Column, max_field_chars: int | None = MAX_CSV_FIELD_CHARS) -> Column:
+    """Fields of a line before cleaning: TAB text, plain CSV or quoted CSV.
 
-    A piece belongs to the previous field while that field starts with a quote
-    and has no closing quote yet, i.e. nothing but doubled quotes after it.
+    A CSV line with a field of more than ``max_field_chars`` has no fields, as in
+    a reader with that limit; with None no field is too long.
     """
-
-    def is_open(field: Column) -> Column:
-        rest = F.substring(field, F.lit(2), F.length(field))
-        return F.startswith(field, F.lit('"')) & ~F.contains(F.replace(rest, F.lit('""')), F.lit('"'))
-
-    def step(acc: Column, piece: Column) -> Column:
-        joined = F.concat(acc["open"], F.lit(","), piece)
-        current = F.when(acc["open"].isNull(), piece).otherwise(joined)
-        still_open = is_open(current)
-        return F.struct(
-            F.when(still_open, acc["done"]).otherwise(F.concat(acc["done"], F.array(current))).alias("done"),
-            F.when(still_open, current).alias("open"),
-        )
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open")
-    )
-    return F.aggregate(
-        F.split(line, ","),
-        start,
-        step,
-        lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(
-            F.concat(acc["done"], F.array(acc["open"]))
-        ),
-    )
-
-
-def _unquote_tail_aware(field: Column) -> Column:
-    """Unquote without a pattern over the quoted part, for very long fields."""
-    rest = F.substring(field, F.lit(2), F.length(field))
-    # Doubled quotes become a mark that cannot occur in a line (a line break),
-    # so the first quote left is the closing one.
-    marked = F.replace(rest, F.lit('""'), F.lit("\n"))
-    close = F.instr(marked, '"')
-    body = F.when(close > 0, F.substring(marked, F.lit(1), close - 1)).otherwise(marked)
-    tail = F.when(close > 0, F.substring(marked, close + 1, F.length(marked))).otherwise(F.lit(""))
-    text = F.concat(F.replace(body, F.lit("\n"), F.lit('"')), F.replace(tail, F.lit("\n"), F.lit('""')))
-    return F.when(F.startswith(field, F.lit('"')), text).otherwise(field)
-
-
-def raw_fields(line: Column) -> Column:
-    """Fields of a line before cleaning: TAB text, plain CSV or quoted CSV."""
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"')))
-    by_pattern = F.transform(
+    quoted_fields = F.transform(
         F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CSV_FIELD), F.lit(1)), _unquote
     )
-    by_fold = F.transform(_fold_quoted(line), _unquote_tail_aware)
     # A quote only matters where a field starts with it.
     quoted = F.startswith(line, F.lit('"')) | F.contains(line, F.lit(',"'))
     csv = (
         F.when(line == "", F.array().cast("array<string>"))
         .when(~quoted, F.split(line, ","))
-        .when(quotes <= _REGEX_QUOTE_LIMIT, by_pattern)
-        .otherwise(by_fold)
+        .otherwise(quoted_fields)
     )
-    # A field over the size limit makes the whole line unreadable as CSV.
-    checked = F.when(
-        (F.octet_length(line) > MAX_CSV_FIELD_CHARS) & F.exists(csv, lambda f: F.length(f) > MAX_CSV_FIELD_CHARS),
-        F.array().cast("array<string>"),
-    ).otherwise(csv)
-    return F.when(F.contains(line, F.lit("\t")), F.split(line, "\t")).otherwise(checked)
+    if max_field_chars is not None:
+        too_long = (F.octet_length(line) > max_field_chars) & F.exists(csv, lambda f: F.length(f) > max_field_chars)
+        csv = F.when(too_long, F.array().cast("array<string>")).otherwise(csv)
+    return F.when(F.contains(line, F.lit("\t")), F.split(line, "\t")).otherwise(csv)
 
 
-def split_fields(line: Column) -> Column:
+def split_fields(line: Column, max_field_chars: int | None = MAX_CSV_FIELD_CHARS) -> Column:
     """Cleaned fields of one line as ``ARRAY<STRING>``."""
-    return F.transform(raw_fields(line), clean_field)
+    return F.transform(raw_fields(line, max_field_chars), clean_field)
 
 
 def values_map(columns: Column, fields: Column) -> Column:
