@@ -89,7 +89,7 @@ def scan_bronze_lines(spark, sf):
 @query("scan_large_objects", f"WITH {EV} SELECT instrument_id, line FROM ev")
 def scan_large_objects(spark, sf):
     root = raw_files(spark, sf)
-    lines = files.scan_bronze_lines(spark, root, f"{root}/{RAW_PATTERN}", max_whole_object=2000)
+    lines = files.scan_bronze_lines(spark, root, f"{root}/{RAW_PATTERN}", range_bytes=20_000)
     return lines.select("instrument_id", "line")
 
 

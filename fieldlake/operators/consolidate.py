@@ -42,12 +42,21 @@ def object_stats(lines: DataFrame, *more: Column) -> DataFrame:
 
 
 def count_data_rows(lines: DataFrame) -> DataFrame:
-    """Data rows per object, objects without any included."""
-    return lines.groupBy(*OBJECT).agg(_count_if(F.col("is_data")).alias("data_rows"))
+    """Data rows per object, objects without any included.
+
+    Lines may have a column ``error`` (``scan_bronze_lines(on_error="column")``): an
+    object with an error in any of its ranges counts 0.
+    """
+    counted = _count_if(F.col("is_data"))
+    if "error" in lines.columns:
+        counted = F.when(F.count("error") > 0, F.lit(0).cast("bigint")).otherwise(counted)
+    return lines.groupBy(*OBJECT).agg(counted.alias("data_rows"))
 
 
 def bronze_rows(lines: DataFrame) -> DataFrame:
-    """Data rows per instrument."""
+    """Data rows per instrument; objects with an error count 0, as in ``count_data_rows``."""
+    if "error" in lines.columns:
+        return count_data_rows(lines).groupBy(GROUP).agg(F.sum("data_rows").alias("bronze_rows"))
     return lines.groupBy(GROUP).agg(_count_if(F.col("is_data")).alias("bronze_rows"))
 
 

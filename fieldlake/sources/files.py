@@ -1,20 +1,22 @@
-"""File discovery and whole-object reads."""
+"""File discovery and reads of raw objects, by byte range."""
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlake.functions.text import decode_bytes, split_lines
+from fieldlake.functions.text import RARE_BREAKS, split_lines
+from fieldlake.sources.tail import SPLIT_BYTES, FileRange, read_range, unfinished_line
 
 QUARANTINE = "_quarantine"
-# Objects up to this size are read whole by one task; larger ones by byte range.
-MAX_WHOLE_OBJECT = 256 * 1024 * 1024
+ERROR_CHARS = 500
 
 _SCHEME = r"^[a-z0-9]+:/*"
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
@@ -89,27 +91,59 @@ def scan_bronze_objects(spark: SparkSession, root: str, pattern: str | None = No
 
 
 def scan_bronze_lines(
-    spark: SparkSession, root: str, pattern: str | None = None, max_whole_object: int = MAX_WHOLE_OBJECT
+    spark: SparkSession, root: str, pattern: str | None = None, range_bytes: int = SPLIT_BYTES, on_error: str = "raise"
 ) -> DataFrame:
-    """Lines ``instrument_id, object_key, pos, line`` of raw text objects.
+    """Lines ``instrument_id, object_key, pos, line`` of raw text objects, blank lines included.
 
-    Objects up to ``max_whole_object`` bytes are read whole, with ``pos`` the
-    line number.  Larger ones go through the byte-range reader, with ``pos`` the
-    byte offset of the line; both only need to grow within an object.
+    Objects of every size go through one reader, in ranges of ``range_bytes``; a
+    range has the lines that begin in it.  ``pos`` is the byte offset of the line
+    in its object (lines cut at one of the rarer separators count on from it), so
+    neither rows nor positions depend on ``range_bytes``.
+
+    A range that cannot be read fails the job, or with ``on_error="column"`` gives
+    a row with null ``pos`` and ``line`` and the message in one more column
+    ``error``, null in all other rows; other ranges of that object still give
+    their lines.
     """
-    files = _read_files(spark, [pattern or _bronze_pattern(root)]).filter(_is_object(F.col("path")))
-    small = _with_keys(files.filter(F.col("length") <= max_whole_object), root).select(
-        "instrument_id", "object_key", F.posexplode(split_lines(decode_bytes(F.col("content")))).alias("pos", "line")
-    )
-    small = small.withColumn("pos", F.col("pos").cast("bigint"))
-    # The listing of oversized objects is short: one path per 256 MB or more.
-    large = [r.path for r in files.filter(F.col("length") > max_whole_object).select("path").toLocalIterator()]
-    if not large:
-        return small
-    from fieldlake.sources.tail import read_growing_files
-
-    ranged = _with_keys(read_growing_files(spark, large, final=True), root)
-    return small.unionByName(expand_lines(ranged).select("instrument_id", "object_key", "pos", "line"))
+    if on_error not in ("raise", "column"):
+        raise ValueError(f"on_error is raise or column, not {on_error}")
+    files = _read_files(spark, [pattern or _bronze_pattern(root)]).filter(_is_object(F.col("path"))).select("path", "length")
+    step = F.lit(range_bytes).cast("bigint")
+    begins = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), step)
+    ranges = files.withColumn("begin", F.explode(begins)).withColumn("end", F.least(F.col("begin") + step, F.col("length")))
+    # Rows are ranges of about equal size here: one task for each, or for several short ones.
+    size, count = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(size // range_bytes + 1, min(count, spark.sparkContext.defaultParallelism))
+    read = ranges.repartition(int(tasks), "path", "begin").mapInArrow(_range_reader(on_error == "column"), "path string, pos bigint, line string, error string")
+    # The reader took one break off each line; a line that still ends with CR had CR CR LF.
+    text = F.concat("line", F.when(F.endswith("line", F.lit("\r")), F.lit("\r\n")).otherwise(F.lit("\n")))
+    pieces = _with_keys(read, root).select("instrument_id", "object_key", "pos", "error", F.posexplode_outer(split_lines(text)).alias("_n", "line"))
+    pieces = pieces.withColumn("pos", F.col("pos") + F.col("_n"))
+    return pieces.select("instrument_id", "object_key", "pos", "line", *(["error"] if on_error == "column" else []))
+
+
+def _range_reader(errors_as_rows: bool):
+    def table(path: str, pos, line, error: str | None = None) -> pa.RecordBatch:
+        n = len(pos)
+        return pa.record_batch([pa.array([path] * n, pa.string()), pos, line, pa.array([error] * n, pa.string())], names=["path", "pos", "line", "error"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = FileRange(row["path"], 0, row["length"], row["begin"], row["end"])
+                try:
+                    for lines in read_range(part):
+                        yield table(part.path, lines.column("pos"), lines.column("line"))
+                    if part.end == part.range_end and (rest := unfinished_line(part)) is not None:
+                        start, text = rest
+                        bare = text[:-1] if text.endswith(tuple(RARE_BREAKS)) else text
+                        yield table(part.path, pa.array([start], pa.int64()), pa.array([bare], pa.string()))
+                except Exception as error:  # whatever a file system raises for one object
+                    if not errors_as_rows:
+                        raise
+                    yield table(part.path, pa.array([None], pa.int64()), pa.array([None], pa.string()), f"{type(error).__name__}: {error}"[:ERROR_CHARS])
+
+    return run
 
 
 def expand_lines(landed: DataFrame) -> DataFrame:

@@ -361,17 +361,24 @@ class GrowingTextBatch(DataSourceReader):
         for part in partition.ranges:
             yield from read_range(part)
             if self.options.final and part.end == part.range_end:
-                yield from _unfinished_line(part)
+                yield from _unfinished_batch(part)
 
 
-def _unfinished_line(part: FileRange) -> Iterator[pa.RecordBatch]:
+def unfinished_line(part: FileRange) -> tuple[int, str] | None:
+    """Offset and text of what follows the last line break of a range, if anything does."""
     start = last_line_end(part.path, part.range_end)
-    if start < part.range_end:
-        filesystem, local = _filesystem(part.path)
-        with filesystem.open_input_file(local) as handle:
-            handle.seek(start)
-            text = handle.read(part.range_end - start).decode("utf-8", errors="replace")
-        row = [[part.path], [part.range_start], [part.range_end], [start], [text]]
+    if start >= part.range_end:
+        return None
+    filesystem, local = _filesystem(part.path)
+    with filesystem.open_input_file(local) as handle:
+        handle.seek(start)
+        return start, handle.read(part.range_end - start).decode("utf-8", errors="replace")
+
+
+def _unfinished_batch(part: FileRange) -> Iterator[pa.RecordBatch]:
+    rest = unfinished_line(part)
+    if rest is not None:
+        row = [[part.path], [part.range_start], [part.range_end], [rest[0]], [rest[1]]]
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
 
 
