@@ -44,17 +44,19 @@ def hadoop_files(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if it does not exist."""
     files, folder = hadoop_files(spark, path)
     return sorted(s.getPath().getName() for s in files.listStatus(folder)) if files.exists(folder) else []
 
 
 def commits(spark: SparkSession, root: str) -> list[int]:
     """Numbers of all commits, oldest first."""
-    return [int(name.removesuffix(".json")) for name in _names(spark, f"{root}/commits") if name[0].isdigit()]
+    return [int(name.removesuffix(".json")) for name in names(spark, f"{root}/commits") if name[0].isdigit()]
 
 
-def _manifest_of(spark: SparkSession, root: str, number: int) -> str:
+def manifest_path(spark: SparkSession, root: str, number: int) -> str:
+    """Folder of the manifest that a commit names."""
     row = spark.read.schema("manifest string").json(f"{root}/commits/{number:012d}.json").first()
     return f"{root}/manifests/{row.manifest}"
 
@@ -66,7 +68,7 @@ def manifest(spark: SparkSession, root: str, number: int | None = None) -> DataF
         if not known:
             return spark.createDataFrame([], ENTRY_SCHEMA)
         number = known[-1]
-    return spark.read.schema(ENTRY_SCHEMA).parquet(_manifest_of(spark, root, number))
+    return spark.read.schema(ENTRY_SCHEMA).parquet(manifest_path(spark, root, number))
 
 
 def _commit(spark: SparkSession, root: str, number: int, token: str) -> bool:
@@ -137,7 +139,7 @@ def vacuum(spark: SparkSession, root: str, tables: list[str], keep: int = 2) ->
     used = {r.build for n in kept for r in manifest(spark, root, n).select("build").distinct().collect()}
     removed = []
     for table in tables:
-        for name in _names(spark, f"{root}/{table}"):
+        for name in names(spark, f"{root}/{table}"):
             if name.startswith("build=") and name.removeprefix("build=") not in used:
                 files, folder = hadoop_files(spark, f"{root}/{table}/{name}")
                 files.delete(folder, True)
