@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import RARE_BREAKS, split_lines
-from fieldlake.sources.tail import SPLIT_BYTES, FileRange, read_range, unfinished_line
+from fieldlake.sources.tail import SPLIT_BYTES, FileRange, list_matches, read_range, unfinished_line
 
-QUARANTINE = "_quarantine"
 ERROR_CHARS = 500
 
-_SCHEME = r"^[a-z0-9]+:/*"
+_REMOTE = re.compile(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*://")
+_LOCAL = re.compile(r"^file:(//(?=/))?")
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -36,31 +36,36 @@ def _read_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _segments(path: Column) -> Column:
-    return F.split(path, "/")
+def _absolute(pattern: str) -> str:
+    """A pattern that means the same on every machine that sees the folder."""
+    return pattern if ":" in pattern.split("/")[0] else os.path.abspath(pattern)
+
+
+def _list_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for pattern in batch.column("pattern").to_pylist():
+            found = list_matches(pattern)
+            # A local file has one name, however its pattern was written.
+            paths = [p if _REMOTE.match(p) else "file:" + _LOCAL.sub("", p) for p in found]
+            sizes, times = zip(*found.values(), strict=True) if found else ((), ())
+            columns = [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array([t // 1000 for t in times], pa.int64())]
+            yield pa.record_batch(columns, names=["path", "size", "modified_us"])
 
 
 def discover_files(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
     """Distinct files that match any pattern, sorted: ``path, size, modified_at``.
 
-    Anything below a quarantine folder is left out, and so are files inside a
-    folder that merely matches a pattern.  File contents are not read.  Names
-    that start with ``_`` or ``.`` are hidden from Spark's file listing.
+    The listing is the one that ``growing_text`` reads by, so both see the same
+    files: not recursive, folders that match are no files, anything below a
+    quarantine folder is left out, a name that starts with ``_`` counts and one
+    that starts with ``.`` only where the pattern says so.  A task lists a pattern;
+    no content is read.  Patterns without a match, and no patterns, give no rows.
     """
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    parts = []
-    for pattern in patterns:
-        if ":" not in pattern.split("/")[0]:
-            pattern = os.path.abspath(pattern)
-        depth = len([p for p in re.sub(_SCHEME, "", pattern).split("/") if p])
-        listed = _read_files(spark, [pattern]).select(
-            "path", F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("modified_at")
-        )
-        parts.append(listed.filter(F.size(_segments(F.regexp_replace("path", _SCHEME, ""))) == depth))
-    if not parts:
-        return spark.createDataFrame([], "path string, size bigint, modified_at timestamp_ntz")
-    files = reduce(DataFrame.unionByName, parts)
-    return files.filter(~F.array_contains(_segments(F.col("path")), QUARANTINE)).distinct().orderBy("path")
+    rows = spark.createDataFrame([(_absolute(p),) for p in patterns], "pattern string")
+    listed = rows.repartition(max(1, len(patterns))).mapInArrow(_list_patterns, "path string, size bigint, modified_us bigint")
+    modified = F.timestamp_micros("modified_us").cast("timestamp_ntz").alias("modified_at")
+    return listed.select("path", "size", modified).distinct().orderBy("path")
 
 
 def _is_object(path: Column) -> Column:

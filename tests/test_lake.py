@@ -1,6 +1,6 @@
 """A hand-written lake of the five instruments, rebuilt and browsed."""
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from fieldlake.plans.silver import build_results, build_silver
 from fieldlake.sources import files, silver
 from fieldlake.sources.instruments import read_instruments
 from fieldlake.sources.reviews import with_item_columns
+from fieldlake.sources.tail import list_matches
 
 BC_HEAD = '"Serial","Num","Date / time local",' + ",".join(f'"c{i}"' for i in range(8))
 BC_ROW = '"MA200-1","12","2026-03-02T18:00:0%d",' + ",".join(f'"{i},x"' for i in range(8))
@@ -180,3 +181,20 @@ def test_discovery_skips_quarantine_folders_and_missing_globs(spark, tmp_path):
     found = files.discover_files(spark, [f"{base}/a/*", f"{base}/a/*.csv", f"{base}/none/*", f"{base}/a/_quarantine/*.csv"])
     assert [r.path.split("/a/")[1] for r in found.collect()] == ["x.csv", "y.csv"]
     assert files.discover_files(spark, f"{base}/none/*").count() == 0
+
+
+def test_discovery_sees_what_the_growing_file_source_sees(spark, tmp_path):
+    names = ["_named.csv", "b.csv", "w[1].csv", ".hidden.csv", "n_quarantine.csv", "_quarantine/q.csv", "sub.csv/inner.csv"]
+    for name in names:
+        path = tmp_path / "x" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("12\n")
+    base = f"{tmp_path}/x"
+    found = files.discover_files(spark, [f"{base}/*.csv", f"file://{base}/b.csv", f"file:{base}/b*.csv", f"{base}/_quarantine/*"]).collect()
+    assert [(r.path, r.size) for r in found] == [(f"file:{base}/{n}", 3) for n in ("_named.csv", "b.csv", "n_quarantine.csv", "w[1].csv")]
+    assert {r.path.removeprefix("file:") for r in found} == set(list_matches(f"{base}/*.csv"))
+    assert [r.path for r in files.discover_files(spark, [f"{base}/.h*", f"{base}/w[1].csv"]).collect()] == [f"file:{base}/.hidden.csv", f"file:{base}/w[1].csv"]
+    assert [r.path for r in files.discover_files(spark, f"{tmp_path}/*/_n*.csv").collect()] == [f"file:{base}/_named.csv"]
+    assert files.discover_files(spark, []).collect() == []
+    landed = {r.modified_at for r in found}
+    assert all(abs((m - datetime.now(UTC).replace(tzinfo=None)).total_seconds()) < 600 for m in landed)
