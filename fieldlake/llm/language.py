@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.llm.arrow import keyed_text, slices
+from fieldlake.llm.staging import bounded_batches
 
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES = 128, 2000, 1 << 16
+LANGUAGES = 256
 LEVEL, CHUNK_BYTES = 6, 2048
 MIN_MARGIN = 0.001
 UNKNOWN = "und"
@@ -82,10 +84,19 @@ class LanguageModel:
         return names[order[0]], 1.0 - best / second
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
-    """Learn a dictionary per language from a bounded sample of rows that have a language and a text."""
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES, languages: int = LANGUAGES) -> LanguageModel:
+    """Learn a dictionary per language from a bounded sample of rows that have a language and a text.
+
+    The ``languages`` names with the most such rows are learned (ties: the smaller
+    name), from the first ``SAMPLE_CHARS`` code points of ``sample_texts`` texts each, in
+    the order of a hash of their id; so a column full of stray names neither floods the
+    driver nor the model.  Rows with a null name, or a null or empty text, teach nothing;
+    repeated rows count as they are; without any row the model knows no language.
+    """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.coalesce(F.length("text") > 0, F.lit(False)))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    rows = rows.join(F.broadcast(common), "lang", "left_semi")
     # each task keeps its own first rows of a language before anything is shuffled
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = rows.withColumn("rank", rank).where(F.col("rank") <= sample_texts).collect()
@@ -124,7 +135,13 @@ def classify(model: LanguageModel, batch: pa.RecordBatch, min_margin: float) ->
 
 
 def keep_identified(df: DataFrame, model: LanguageModel, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
-    """Rows of ``df``, all their columns, without those that the model rejects."""
+    """Rows of ``df``, all their columns, without those that the model rejects.
+
+    Null and empty texts, and those without a letter, go; whole texts are read however
+    long.  Ties are rejected.  Repeated rows stay or go alike, null ids do not matter,
+    columns may have any name, and an empty table stays empty.
+    """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     index = df.columns.index(text_col)
 

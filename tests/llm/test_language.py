@@ -49,3 +49,16 @@ def test_prediction_ignores_source_and_id(spark):
     moved = df.withColumn("doc_id", F.col("doc_id") + 100).withColumn("lang", F.lit("zz"))
     assert sorted(r.score for r in identify(moved, model).collect()) == sorted(r.score for r in identify(df, model).collect())
     assert df.where(held_out()).count() <= 8
+
+
+def test_stray_names_are_not_learned(spark):
+    rows = [(i, f"some words of text {i}", "en" if i % 2 else "fr") for i in range(40)] + [(100 + i, f"stray {i}", f"x{i:03d}") for i in range(60)]
+    rows += [(200, "nothing", None), (201, None, "en"), (202, "", "x000"), (203, "again", "x001")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(fit(df, languages=3).content) == ["en", "fr", "x001"]
+    assert sorted(fit(df, languages=4).content) == ["en", "fr", "x000", "x001"]
+    every = fit(df)
+    assert len(every.content) == 62
+    assert {n: every.content[n] for n in ("en", "fr")} == {n: c for n, c in fit(df, languages=2).content.items()}
+    empty = fit(df.where("doc_id < 0"))
+    assert empty.content == {} and keep_identified(df, empty).collect() == []
