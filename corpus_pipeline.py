@@ -17,24 +17,41 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the rows that have a language; documents that the model rejects go."""
+    """Fit on the rows that have a language; documents that the model rejects go.
+
+    Null and empty texts go, texts of any length are read whole, ties are rejected, equal
+    rows share their fate, null ids are not fitted on, other columns pass, an empty table
+    stays empty.  Without any labelled row no language is known and all documents go.
+    """
     model = language.fit(docs.where(F.col("doc_id").isNotNull() & ~language.held_out()))
     return language.keep_identified(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: three-word shingles, at most three differing bits."""
+    """One document of each SimHash class stays: three-word shingles, at most three differing bits.
+
+    The smallest id stays, null ids last, of equal rows one.  Texts without words are a
+    class like any other.  Columns may have any name; an empty table stays empty.
+    """
     return simhash.keep_one(docs, shingle=3, max_distance=3)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes and more that an earlier document has are cut out of the texts."""
+    """Strings of 50 bytes and more that an earlier document has are cut out of the texts.
+
+    Every row stays; a null text becomes empty.  Rows of one id never cut each other,
+    null ids stand last.  Columns may have any name; an empty table stays empty.
+    """
     cut = repeats.without_repeats(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens along the curve."""
+    """Pieces of documents in sequences of 2048 tokens along the curve.
+
+    A null or empty text is its closing id alone; long texts are cut into pieces, repeated
+    rows are packed each.  An empty table has no pieces.
+    """
     return pack.pack(docs, VOCABULARY)
 
 
