@@ -3,12 +3,12 @@
 *Rows* carry ``instrument_id, row_key, ts``; *items* follow
 ``sources.reviews.ITEM_SCHEMA``.  Match results are pairs of a row key and an item
 key; only keys and bounds take part in a match, and the items themselves join the
-pairs that are left.
+pairs that are left.  Arrays of keys per row are made without a row per pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlake.functions.display import changed_values
@@ -32,6 +32,8 @@ _TOP = 13
 # Open ranges, and the longest closed ones, are covered down to cells of 1.1 and 9.1 hours.
 _OPEN_LEVEL, _COARSEST = 4, 5
 _FIRST_SECOND, _LAST_SECOND = -62135596800, 253402300799  # years 1 to 9999
+# Ranges of a cell that travel as one list, about; a cell with more has several lists.
+LIST_RANGES = 1024
 
 
 def active_items(items: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def range_cells(ranges: DataFrame) -> DataFrame:
     first, last, first_up, last_up = (F.col(c) for c in ("_first", "_last", "_first_up", "_last_up"))
     edges = F.concat(span(first, first_up * 8 - 1), span((last_up + 1) * 8, last))
     cells = F.when((first_up <= last_up) & (F.col("_level") < _TOP), edges).otherwise(span(first, last))
-    return covered.select("instrument_id", ITEM_KEY, "_from", "_to", "_level", F.explode(cells).alias("_cell"))
+    return covered.select(*ranges.columns, "_level", F.explode(cells).alias("_cell"))
 
 
 def range_items(items: DataFrame) -> DataFrame:
@@ -115,17 +117,10 @@ def _inside() -> Column:
     return (F.col("_from").isNull() | (F.col("_ts") >= F.col("_from"))) & (F.col("_to").isNull() | (F.col("_ts") <= F.col("_to")))
 
 
-def meet_by_time(rows: DataFrame, items: DataFrame, ts: str, how: str, exact: bool = True) -> DataFrame:
-    """Rows and range items that share a cell; with ``exact`` only those whose bounds hold.
-
-    A row looks for its cell on the levels that ranges of its instrument have, so rows
-    of an instrument without ranges drop out at once.  The join has plain keys: a cell
-    with very many rows is split at run time by the sizes that Spark measures
-    (``spark.sql.adaptive.skewJoin``).  A pair can meet in one cell only.
-    """
-    cells = range_cells(range_items(items).select("instrument_id", ITEM_KEY, "_from", "_to"))
+def _rows_in_cells(rows: DataFrame, cells: DataFrame, ts: str) -> DataFrame:
+    """``instrument_id, row_key, _ts, _level, _cell``: each row on the levels that cells of its instrument have."""
     levels = cells.groupBy("instrument_id").agg(F.collect_set("_level").alias("_levels"))
-    timed = (
+    return (
         rows.select(*ROW, F.col(ts).alias("_ts"))
         .filter("_ts is not null")
         .join(levels, "instrument_id")
@@ -133,8 +128,19 @@ def meet_by_time(rows: DataFrame, items: DataFrame, ts: str, how: str, exact: bo
         .withColumn("_level", F.explode("_levels"))
         .withColumn("_cell", F.expr("floor(_second / shiftleft(1L, 3 * _level))"))
         .select(*ROW, "_ts", "_level", "_cell")
-        .alias("row")
     )
+
+
+def meet_by_time(rows: DataFrame, items: DataFrame, ts: str, how: str, exact: bool = True) -> DataFrame:
+    """Rows and range items that share a cell; with ``exact`` only those whose bounds hold.
+
+    A row looks for its cell on the levels that ranges of its instrument have, so rows
+    of an instrument without ranges drop out at once.  The join has plain keys: a cell
+    with very many rows is split at run time by the sizes that Spark measures
+    (``spark.sql.adaptive.skewJoin``).  A pair can meet in one cell only.
+    """
+    cells = range_cells(range_items(items).select("instrument_id", ITEM_KEY, "_from", "_to"))
+    timed = _rows_in_cells(rows, cells, ts).alias("row")
     shared = [F.col(f"row.{c}") == F.col(f"range.{c}") for c in ("instrument_id", "_level", "_cell")]
     on = shared[0] & shared[1] & shared[2] & (_inside() if exact else F.lit(True))
     kept = [F.col("row.instrument_id"), F.col("row.row_key")]
@@ -161,20 +167,72 @@ def _sorted_items(matched: Column, kind: str) -> Column:
     return F.transform(ordered, lambda m: m["item"])
 
 
-def attach_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
-    """Every row with arrays ``flags`` and ``corrections`` (listing order) and ``status``."""
-    item = active_items(items).select("instrument_id", ITEM_KEY, _item(items).alias("item")).dropDuplicates(["instrument_id", ITEM_KEY])
-    per_row = match_reviews(rows, items, ts).join(item, ["instrument_id", ITEM_KEY]).groupBy(*ROW).agg(
-        F.collect_list(F.struct(ITEM_KEY, "item")).alias("_matched")
+def _keys_by_time(rows: DataFrame, items: DataFrame, ts: str) -> DataFrame:
+    """``instrument_id, row_key, type, _keys``: keys of the ranges that a row lies in, an array per level or less.
+
+    The ranges of a cell are one list, or several of about ``LIST_RANGES``, and a row
+    keeps those whose bounds hold: rows meet lists, and no pair is a row of its own.
+    Ranges are counted for all instruments of a cell at once, so that the join deals
+    the lists out anew and Spark can split a cell with very many rows, as in ``meet_by_time``.
+    """
+    cells = range_cells(range_items(items).select("instrument_id", ITEM_KEY, "type", "_from", "_to"))
+    crowd = F.count(F.lit(1)).over(Window.partitionBy("_level", "_cell"))
+    lists = (
+        cells.withColumn("_list", F.pmod(F.xxhash64(ITEM_KEY), F.ceil(crowd / LIST_RANGES)))
+        .groupBy("instrument_id", "_level", "_cell", "type", "_list")
+        .agg(F.collect_list(F.struct("_from", "_to", ITEM_KEY)).alias("_ranges"))
     )
-    none = F.array().cast(per_row.schema["_matched"].dataType)
-    matched = F.coalesce("_matched", none)
-    return (
-        rows.join(per_row, ROW, "left")
-        .withColumns({"flags": _sorted_items(matched, "flag"), "corrections": _sorted_items(matched, "correction")})
-        .withColumn("status", record_status(F.size("flags"), F.size("corrections")))
-        .drop("_matched")
+
+    def holds(r: Column) -> Column:
+        t = F.col("_ts")
+        return (r["_from"].isNull() | (t >= r["_from"])) & (r["_to"].isNull() | (t <= r["_to"]))
+
+    met = _rows_in_cells(rows, cells, ts).join(lists, ["instrument_id", "_level", "_cell"])
+    keys = F.transform(F.filter("_ranges", holds), lambda r: r[ITEM_KEY])
+    return met.select(*ROW, "type", keys.alias("_keys")).filter(F.size("_keys") > 0)
+
+
+def review_keys(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+    """``instrument_id, row_key, flag_keys, correction_keys`` of rows that some active item applies to: sorted distinct keys."""
+    kinds = active_items(items).select("instrument_id", ITEM_KEY, "type").distinct()
+    named = named_keys(items).join(rows.select(*ROW), ROW, "left_semi").join(kinds, ["instrument_id", ITEM_KEY])
+    by_key = named.select(*ROW, "type", F.array(ITEM_KEY).alias("_keys"))
+
+    def of(kind: str) -> Column:
+        return F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("type") == kind, F.col("_keys"))))))
+
+    both = _keys_by_time(rows, items, ts).unionByName(by_key).filter(F.col("type").isin("flag", "correction"))
+    return both.groupBy(*ROW).agg(of("flag").alias("flag_keys"), of("correction").alias("correction_keys"))
+
+
+def _whole_items(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """``instrument_id, row_key, flags, corrections``: the items behind the keys, in key order."""
+    item = active_items(items).select("instrument_id", ITEM_KEY, "type", _item(items).alias("item"))
+    item = item.dropDuplicates(["instrument_id", ITEM_KEY, "type"])
+
+    def of(column: str, kind: str) -> Column:
+        return F.transform(column, lambda k: F.struct(k.alias(ITEM_KEY), F.lit(kind).alias("type")))
+
+    pairs = keys.select(*ROW, F.inline(F.concat(of("flag_keys", "flag"), of("correction_keys", "correction"))))
+    matched = pairs.join(item, ["instrument_id", ITEM_KEY, "type"]).groupBy(*ROW).agg(
+        F.collect_list(F.struct(ITEM_KEY, "item")).alias("_matched")
     )
+    kinds = {"flags": _sorted_items(F.col("_matched"), "flag"), "corrections": _sorted_items(F.col("_matched"), "correction")}
+    return matched.withColumns(kinds).drop("_matched")
+
+
+def attach_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+    """Every row with arrays ``flag_keys``, ``correction_keys``, ``flags``, ``corrections`` (all in listing order) and ``status``.
+
+    ``flags`` and ``corrections`` hold whole items, so an item is in them once for every
+    row that it applies to.  They are a left join of their own on unique keys: Spark
+    leaves it out where only keys or status are read.
+    """
+    keys = review_keys(rows, items, ts)
+    whole = _whole_items(keys, items)
+    attached = rows.join(keys, ROW, "left").join(whole, ROW, "left")
+    arrays = {c: F.coalesce(c, F.array().cast(attached.schema[c].dataType)) for c in ("flag_keys", "correction_keys", "flags", "corrections")}
+    return attached.withColumns(arrays).withColumn("status", record_status(F.size("flag_keys"), F.size("correction_keys")))
 
 
 def record_status(flag_count: Column, correction_count: Column) -> Column:
