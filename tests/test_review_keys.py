@@ -11,8 +11,8 @@ def test_keys_of_a_row_need_no_items(spark):
     """An item names thousands of rows: it must not travel once for each of them unless it is asked for."""
     rows, items, _ = sample(4, n_rows=40, n_items=20)
     attached = rv.attach_reviews(rows_df(spark, rows), items_df(spark, items))
-    assert "_matched" in plan_of(attached.select("row_key", "flags"))
-    assert "_matched" not in plan_of(attached.select("row_key", "flag_keys", "correction_keys", "status"))
+    assert " AS item#" in plan_of(attached.select("row_key", "flags"))
+    assert " AS item#" not in plan_of(attached.select("row_key", "flag_keys", "correction_keys", "status"))
 
 
 def test_ranges_of_a_cell_in_several_lists_lose_no_link(spark, monkeypatch):
@@ -24,3 +24,13 @@ def test_ranges_of_a_cell_in_several_lists_lose_no_link(spark, monkeypatch):
     for kind, column in (("flag", "flag_keys"), ("correction", "correction_keys")):
         for r in got:
             assert r[column] == sorted(k for i, row, k in links if (i, row) == (r.instrument_id, r.row_key) and kinds[k] == kind)
+
+
+def test_status_reads_no_items(spark):
+    rows, items, links = sample(8, n_rows=40, n_items=20)
+    kinds = {i["_s3_key"]: i["type"] for i in items}
+    status = rv.attach_reviews(rows_df(spark, rows), items_df(spark, items)).select("instrument_id", "row_key", "status")
+    assert " AS item#" not in plan_of(status)
+    for r in status.collect():
+        met = {kinds[k] for i, row, k in links if (i, row) == (r.instrument_id, r.row_key)}
+        assert r.status == ("corrected" if "correction" in met else "flagged" if met else "normal")
