@@ -11,8 +11,8 @@ replaced: its generation grows and it is read from its start.
 ``maxBytes`` bounds a batch: what files have beyond it is left to the next one, at
 a line break, and files with little to read come before those with much.  The
 driver only probes files that changed, side by side; the bytes themselves are
-read by tasks, in ranges of ``splitBytes`` cut at line breaks, and small ranges
-share a task.
+read by tasks, in ranges of at most ``splitBytes`` cut at line breaks.  With ``tasks``
+a batch is dealt out to about so many tasks: small ranges share one, large ones shrink.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ FORMAT = "growing_text"
 SCHEMA = "path string, range_start bigint, range_end bigint, pos bigint, line string"
 SPLIT_BYTES = 128 * 1024 * 1024
 READ_BYTES = 8 * 1024 * 1024
+LEAST_TASK_BYTES = 4 * 1024 * 1024
 PROBE_BYTES = 64 * 1024
 HEAD_BYTES = 4096
 PROBES = 32  # listings and probes that the driver has under way at once
@@ -226,6 +227,20 @@ def pack_ranges(ranges: list[FileRange], split_bytes: int) -> list[Ranges]:
     return tasks
 
 
+def cut_tasks(files: list[tuple[str, int, int]], split_bytes: int, tasks: int = 0) -> list[Ranges]:
+    """Tasks for ``(path, begin, end)`` of files: ranges of at most ``split_bytes``.
+
+    With ``tasks`` a task takes its share of all bytes, whatever the ranges are, but no
+    more than ``SPLIT_BYTES`` (or one range), and no less than 4 MiB if ranges allow.
+    """
+    held = split_bytes
+    if tasks:
+        share = -(-sum(end - begin for _, begin, end in files) // tasks)
+        held = min(max(split_bytes, SPLIT_BYTES), max(min(split_bytes, LEAST_TASK_BYTES), share))
+    parts = [p for path, begin, end in files for p in split_range(path, begin, end, min(split_bytes, held))]
+    return pack_ranges(parts, held)
+
+
 def _decode(chunk: bytes, breaks: np.ndarray) -> list[str]:
     """Lines of a chunk that ends with a line break, without their breaks."""
     try:
@@ -240,7 +255,7 @@ def read_range(part: FileRange, read_bytes: int = READ_BYTES) -> Iterator[pa.Rec
     """Arrow batches with the lines that begin inside the task's range.
 
     A range that starts inside a line leaves that line to the task before it,
-    and the last line is read past the end of the range.
+    and the last line is read past the end of the range, in small steps.
     """
     filesystem, local = _filesystem(part.path)
     with filesystem.open_input_file(local) as handle:
@@ -252,7 +267,8 @@ def read_range(part: FileRange, read_bytes: int = READ_BYTES) -> Iterator[pa.Rec
         handle.seek(position)
         pending = b""
         while position < part.range_end:
-            data = handle.read(min(read_bytes, part.range_end - position))
+            ahead = part.end - position if position < part.end else max(PROBE_BYTES, len(pending))
+            data = handle.read(min(read_bytes, ahead, part.range_end - position))
             if not data:
                 break
             base = position - len(pending)
@@ -265,6 +281,8 @@ def read_range(part: FileRange, read_bytes: int = READ_BYTES) -> Iterator[pa.Rec
                 first = chunk.find(b"\n") + 1
                 chunk, base, skip_first = chunk[first:], base + first, False
             if not chunk:
+                if not skip_first and position - len(pending) >= part.end:
+                    break
                 continue
             breaks = np.flatnonzero(np.frombuffer(chunk, dtype=np.uint8) == 10)
             starts = np.concatenate(([0], breaks[:-1] + 1)) + base
@@ -291,6 +309,7 @@ class _Options:
         self.patterns = json.loads(raw) if raw.startswith("[") else [raw]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.max_bytes = int(options.get("maxBytes", 0))
+        self.tasks = int(options.get("tasks", 0))
         self.final = options.get("final", "false").lower() == "true"
         self.known = "offsets" in options
         self.offsets = {path: as_entry(end) for path, end in json.loads(options.get("offsets") or "{}").items()}
@@ -332,13 +351,12 @@ class GrowingTextStream(DataSourceStreamReader):
         return 0 if replaced else reached
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
-        parts = []
+        added = []
         for path, entry in end["files"].items():
             entry, before = as_entry(entry), start["files"].get(path)
-            begin = self._begin(path, None if before is None else as_entry(before), entry)
-            parts += split_range(path, begin, entry[0], self.options.split_bytes)
+            added.append((path, self._begin(path, None if before is None else as_entry(before), entry), entry[0]))
         self._reached, self._known = {path: as_entry(entry) for path, entry in end["files"].items()}, True
-        return pack_ranges(parts, self.options.split_bytes)
+        return cut_tasks(added, self.options.split_bytes, self.options.tasks)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for part in partition.ranges:
@@ -354,8 +372,8 @@ class GrowingTextBatch(DataSourceReader):
     def partitions(self) -> list[Ranges]:
         files = [(path, size) for path, (size, _) in self.options.files().items()]
         stops = [size for _, size in files] if self.options.final else _side_by_side(lambda f: last_line_end(*f), files)
-        parts = [p for (path, _), stop in zip(files, stops) for p in split_range(path, 0, stop, self.options.split_bytes)]
-        return pack_ranges(parts, self.options.split_bytes)
+        whole = [(path, 0, stop) for (path, _), stop in zip(files, stops)]
+        return cut_tasks(whole, self.options.split_bytes, self.options.tasks)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for part in partition.ranges:
@@ -383,7 +401,7 @@ def _unfinished_batch(part: FileRange) -> Iterator[pa.RecordBatch]:
 
 
 class GrowingText(DataSource):
-    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``maxBytes``, ``final``,
+    """Options: ``paths`` (JSON list of patterns) or ``path``, ``splitBytes``, ``tasks``, ``maxBytes``, ``final``,
     and ``offsets`` (JSON, path to entry or end): where a stream without a checkpoint starts, and from
     where the first batch after a restart is measured."""
 
@@ -401,6 +419,10 @@ class GrowingText(DataSource):
         return GrowingTextBatch(self.options)
 
 
+def _tasks(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(GrowingText)
 
@@ -424,7 +446,7 @@ def tail_growing_files(
     reader = spark.readStream.format(FORMAT).option("paths", json.dumps(patterns)).option("splitBytes", split_bytes)
     if offsets is not None:
         reader = reader.option("offsets", json.dumps(offsets))
-    return reader.option("maxBytes", max_bytes).load()
+    return reader.option("tasks", _tasks(spark)).option("maxBytes", max_bytes).load()
 
 
 def read_growing_files(
@@ -437,6 +459,7 @@ def read_growing_files(
         spark.read.format(FORMAT)
         .option("paths", json.dumps(patterns))
         .option("splitBytes", split_bytes)
+        .option("tasks", _tasks(spark))
         .option("final", str(final).lower())
         .load()
     )
