@@ -7,12 +7,13 @@ again under another checkpoint.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlake.functions.text import sanitize_stem
 from fieldlake.functions.times import partition_columns
 from fieldlake.operators.consolidate import object_stats
+from fieldlake.session import side_by_side_writers
 from fieldlake.sources.versions import hadoop_files
 
 PARTITIONS = ["instrument_id", "year", "month", "run_id", "batch_id"]
@@ -36,6 +37,12 @@ LEDGER_SCHEMA = (
 LEDGER_COLUMNS = [part.split()[0] for part in LEDGER_SCHEMA.split(", ")]
 
 
+def _digits(number: Column, width: int) -> Column:
+    """A number from 0 with zeros in front; one that is longer stays whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def object_key(instrument, source_file, start, end, ingest_ts, run_id, batch_id):
     """Deterministic key of one byte range landed by one batch.
 
@@ -49,7 +56,8 @@ def object_key(instrument, source_file, start, end, ingest_ts, run_id, batch_id)
     return F.concat(
         instrument, F.lit("/bronze/year="), year, F.lit("/month="), month, F.lit("/"), sanitize_stem(name),
         F.lit("__"), F.substring(F.sha2(source_file, 256), 1, 8),
-        F.format_string("__%020d-%020d__%s-%010d.txt", start, end, run_id, batch_id),
+        F.lit("__"), _digits(start, 20), F.lit("-"), _digits(end, 20),
+        F.lit("__"), run_id, F.lit("-"), _digits(batch_id, 10), F.lit(".txt"),
     )
 
 
@@ -81,14 +89,10 @@ def write_bronze(rows: DataFrame, path: str, run_id: str, batch_id: int) -> None
 
     ``run_id`` names the checkpoint that numbers the batches.
     """
-    (
-        rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
-        .select(*BRONZE_COLUMNS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .parquet(path)
-    )
+    named = rows.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")}).select(*BRONZE_COLUMNS)
+    # The lines of a batch mostly share their folder.
+    with side_by_side_writers(rows.sparkSession):
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
 
 
 def write_bronze_stats(stats: DataFrame, path: str) -> None:
