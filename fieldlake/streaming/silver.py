@@ -25,7 +25,7 @@ from fieldlake.functions.rules import RuleSet, classify_lines
 from fieldlake.functions.text import line_hash
 from fieldlake.functions.times import content_month
 from fieldlake.operators.consolidate import GROUP, distinct_lines
-from fieldlake.session import scratch_path, stage
+from fieldlake.session import scratch_path, side_by_side_writers, stage
 from fieldlake.sources import versions
 from fieldlake.sources.bronze import BRONZE_SCHEMA
 from fieldlake.sources.files import expand_lines
@@ -104,14 +104,9 @@ def append_batch(batch: DataFrame, run_id: str, batch_id: int, rules: RuleSet, p
             known = known.filter((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
             labels = stage(lines.select(*LABEL).distinct(), "labels", f"{work}/labels")
             fresh = lines.join(of_labels(known, labels).select(*LABEL, "line_hash"), [*LABEL, "line_hash"], "left_anti")
-        (
-            fresh.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")})
-            .select(*COLUMNS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*PARTITIONS)
-            .parquet(path)
-        )
+        named = fresh.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint")}).select(*COLUMNS)
+        with side_by_side_writers(spark):
+            named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
     finally:
         files, folder = versions.hadoop_files(spark, work)
         files.delete(folder, True)
