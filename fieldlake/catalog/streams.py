@@ -101,9 +101,12 @@ def landing_after_checkpoint_loss(spark, sf):
         for name, part in (("first", early), ("second", ~early)):
             added = lines.filter(part).select("instrument_id", "line")
             added.write.mode("append").partitionBy("instrument_id").text(f"{path}/in")
+            started = []
             for instrument in found:
                 pattern = f"{path}/in/instrument_id={instrument}/*.txt"
-                ingest.ingest_stream(spark, instrument, [pattern], path, f"{path}/checkpoints-{name}", EVENT_RULES).awaitTermination()
+                started.append(ingest.ingest_stream(spark, instrument, [pattern], path, f"{path}/checkpoints-{name}", EVENT_RULES))
+            for running in started:
+                running.awaitTermination()
         landed = bronze.read_bronze(spark, f"{path}/bronze")
         run_id = ingest.checkpoint_id(spark, f"{path}/checkpoints-first/ingest/{found[0]}")
         batch = stage(landed.filter((F.col("run_id") == run_id) & (F.col("batch_id") == 0)), "replayed")
