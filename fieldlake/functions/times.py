@@ -24,6 +24,8 @@ YEAR_FIRST_SLASH = (
 DAY_OR_MONTH_FIRST = (
     r"^([0-9]{1,2})/([0-9]{1,2})/(?!0000)([0-9]{4})\s+([0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}(?:\.[0-9]{1,6})?)?)$"
 )
+# The commonest shape; it needs no parts, and no zone.
+PLAIN = r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 _HAS_FRACTION = r"\.[0-9]+$"
 _HAS_SECONDS = r":[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]{1,6})?$"
 
@@ -161,12 +163,13 @@ def with_times(
     The intermediate columns keep the expression small, which matters when the
     three readings are used together on every row of a table.
     """
-    text, parts, zone = F.col("_text"), F.col("_parts"), F.col("_zone")
+    plain, text, parts, zone = F.col("_plain"), F.col("_text"), F.col("_parts"), F.col("_zone")
     staged = (
-        df.withColumn("_text", _cleaned(F.col(source)))
-        .withColumn("_parts", _iso_parts(text))
+        df.withColumn("_plain", F.col(source).rlike(PLAIN))
+        .withColumn("_text", F.when(plain, F.col(source)).otherwise(_cleaned(F.col(source))))
+        .withColumn("_parts", F.when(plain, F.lit(None)).otherwise(_iso_parts(text)))
         .withColumn("_zone", _iso_zone(parts))
-        .withColumn("_wall", _wall_clock(text, parts, zone, date_order))
+        .withColumn("_wall", F.when(plain, _ntz(text)).otherwise(_wall_clock(text, parts, zone, date_order)))
     )
     added = {}
     if wall:
@@ -174,8 +177,10 @@ def with_times(
     if compare:
         added[compare] = _to_utc(F.col("_wall"), zone, naive_zone)
     if iso:
-        added[iso] = _iso_with_zone(F.col("_wall"), zone)
-    return staged.withColumns(added).drop("_text", "_parts", "_zone", "_wall")
+        written = F.concat(F.left(text, F.lit(10)), F.lit("T"), F.right(text, F.lit(8)))
+        general = _iso_with_zone(F.col("_wall"), zone)
+        added[iso] = F.when(plain, F.when(F.col("_wall").isNotNull(), written)).otherwise(general)
+    return staged.withColumns(added).drop("_plain", "_text", "_parts", "_zone", "_wall")
 
 
 def iso_text(ts: Column) -> Column:
