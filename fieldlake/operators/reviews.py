@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fieldlake.functions.display import changed_values
 from fieldlake.functions.rules import RuleSet
 from fieldlake.functions.times import with_times
+from fieldlake.session import stage
 
 ROW = ["instrument_id", "row_key"]
 ITEM_KEY = "_s3_key"
@@ -45,11 +46,11 @@ def _item(items: DataFrame) -> Column:
     return F.struct(*[F.col(c) for c in items.columns])
 
 
-def named_keys(items: DataFrame) -> DataFrame:
-    """``instrument_id, _s3_key, row_key`` of every row that an active item names."""
+def named_keys(items: DataFrame, of: str = ITEM_KEY) -> DataFrame:
+    """``instrument_id, _s3_key, row_key`` of every row that an active item names; ``of`` gives another column than its key."""
     listed = F.coalesce("row_keys", F.array().cast("array<string>"))
     keys = F.array_distinct(F.array_compact(F.concat(listed, F.array(F.nullif(F.col("row_key"), F.lit(""))))))
-    return active_items(items).select("instrument_id", ITEM_KEY, F.explode(keys).alias("row_key"))
+    return active_items(items).select("instrument_id", of, F.explode(keys).alias("row_key"))
 
 
 def match_by_row_key(rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -118,12 +119,15 @@ def _inside() -> Column:
 
 
 def _rows_in_cells(rows: DataFrame, cells: DataFrame, ts: str) -> DataFrame:
-    """``instrument_id, row_key, _ts, _level, _cell``: each row on the levels that cells of its instrument have."""
+    """``instrument_id, row_key, _ts, _level, _cell``: each row on the levels that cells of its instrument have.
+
+    Levels are a row per instrument and are broadcast: rows are not dealt by instrument for them.
+    """
     levels = cells.groupBy("instrument_id").agg(F.collect_set("_level").alias("_levels"))
     return (
         rows.select(*ROW, F.col(ts).alias("_ts"))
         .filter("_ts is not null")
-        .join(levels, "instrument_id")
+        .join(F.broadcast(levels), "instrument_id")
         .withColumn("_second", _seconds(F.col("_ts")))
         .withColumn("_level", F.explode("_levels"))
         .withColumn("_cell", F.expr("floor(_second / shiftleft(1L, 3 * _level))"))
@@ -221,18 +225,65 @@ def _whole_items(keys: DataFrame, items: DataFrame) -> DataFrame:
     return matched.withColumns(kinds).drop("_matched")
 
 
-def attach_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+def range_edges(items: DataFrame) -> DataFrame:
+    """``instrument_id, type, _level, _cell, _whole, _until, _since, _low, _high``: what ranges cover of a cell, whoever they are.
+
+    A range that begins before a cell covers it up to its end, one that ends behind it from
+    its start on: of all of them the latest end and the earliest start tell what is covered,
+    and one row per cell and type is enough.  Only a range with both bounds inside a cell (a part of a second,
+    see ``range_cells``) has its own row, once for all ranges with these bounds; bounds in
+    the wrong order are such a row at most.
+    """
+    cells = range_cells(range_items(items).select("instrument_id", "type", "_from", "_to"))
+    size = F.expr("shiftleft(1L, 3 * _level) * 1000000L")  # microseconds
+
+    def micros(t: str) -> Column:
+        return F.unix_micros(F.col(t).cast("timestamp"))
+
+    before = F.col("_from").isNull() | (micros("_from") <= F.col("_cell") * size)
+    behind = F.col("_to").isNull() | (micros("_to") >= (F.col("_cell") + 1) * size - 1)
+    cells = cells.withColumns({"_before": before, "_behind": behind})
+    inside = ~F.col("_before") & ~F.col("_behind")
+    bounds = {"_low": F.when(inside, F.col("_from")), "_high": F.when(inside, F.col("_to"))}
+    return cells.withColumns(bounds).groupBy("instrument_id", "type", "_level", "_cell", "_low", "_high").agg(
+        F.bool_or(F.col("_before") & F.col("_behind")).alias("_whole"),
+        F.max(F.when(F.col("_before") & ~F.col("_behind"), F.col("_to"))).alias("_until"),
+        F.min(F.when(~F.col("_before") & F.col("_behind"), F.col("_from"))).alias("_since"),
+    )
+
+
+def review_kinds(rows: DataFrame, items: DataFrame, ts: str = "ts") -> DataFrame:
+    """``instrument_id, row_key, _flagged, _corrected`` (1 or null) of rows that some active item applies to.
+
+    Rows meet what ranges cover, not ranges, so nothing here grows with pairs of them.  What
+    they cover is staged: Spark knows its true size and sends it to the rows while it is small.
+    """
+    kinds = items.filter(F.col("type").isin("flag", "correction"))
+    edges = stage(range_edges(kinds), "reviews-edges")
+    held = F.col("_whole") | (F.col("_ts") <= F.col("_until")) | (F.col("_ts") >= F.col("_since")) | F.col("_ts").between(F.col("_low"), F.col("_high"))
+    timed = _rows_in_cells(rows, edges, ts).join(edges, ["instrument_id", "_level", "_cell"]).filter(held)
+    both = timed.select(*ROW, "type").unionByName(named_keys(kinds, "type"))
+    return both.groupBy(*ROW).agg(
+        F.max(F.when(F.col("type") == "flag", 1)).alias("_flagged"), F.max(F.when(F.col("type") == "correction", 1)).alias("_corrected")
+    )
+
+
+def attach_reviews(rows: DataFrame, items: DataFrame, ts: str = "ts", arrays: bool = True) -> DataFrame:
     """Every row with arrays ``flag_keys``, ``correction_keys``, ``flags``, ``corrections`` (all in listing order) and ``status``.
 
     ``flags`` and ``corrections`` hold whole items, so an item is in them once for every
     row that it applies to.  They are a left join of their own on unique keys: Spark
-    leaves it out where only keys or status are read.
+    leaves it out where only keys or status are read.  Without ``arrays`` a row gets its
+    ``status`` alone, for which no keys travel either.
     """
+    if not arrays:
+        attached = rows.join(review_kinds(rows, items, ts), ROW, "left")
+        return attached.withColumn("status", record_status(F.col("_flagged"), F.col("_corrected"))).drop("_flagged", "_corrected")
     keys = review_keys(rows, items, ts)
     whole = _whole_items(keys, items)
     attached = rows.join(keys, ROW, "left").join(whole, ROW, "left")
-    arrays = {c: F.coalesce(c, F.array().cast(attached.schema[c].dataType)) for c in ("flag_keys", "correction_keys", "flags", "corrections")}
-    return attached.withColumns(arrays).withColumn("status", record_status(F.size("flag_keys"), F.size("correction_keys")))
+    filled = {c: F.coalesce(c, F.array().cast(attached.schema[c].dataType)) for c in ("flag_keys", "correction_keys", "flags", "corrections")}
+    return attached.withColumns(filled).withColumn("status", record_status(F.size("flag_keys"), F.size("correction_keys")))
 
 
 def record_status(flag_count: Column, correction_count: Column) -> Column:
