@@ -4,7 +4,8 @@ In each round every vertex moves to the least of itself and its neighbours, and
 the links between vertices that moved to different places are the next graph.
 Vertex numbers should be hashes: with random numbers a round shrinks even a long
 chain by a constant factor.  Each round is a written table, so lineage stays short
-and a lost executor repeats a task, not a round.
+and a lost executor repeats a task, not a round.  Both sides of every join grow with
+the links, so they are merge joins by hint, however small the files are.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ def components(links: DataFrame) -> DataFrame:
             labels = moves.select(F.col("a").alias("vertex"), F.col("to").alias("component"))
         else:
             step = moves.withColumnRenamed("a", "component")
-            labels = stage(labels.join(step, "component", "left").select("vertex", F.coalesce("to", "component").alias("component")), "labels")
-        ends = graph.where(F.col("a") < F.col("b")).join(moves.select("a", F.col("to").alias("x")), "a").join(moves.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+            labels = stage(labels.hint("merge").join(step, "component", "left").select("vertex", F.coalesce("to", "component").alias("component")), "labels")
+        begun = graph.where(F.col("a") < F.col("b")).hint("merge").join(moves.select("a", F.col("to").alias("x")), "a")
+        ends = begun.hint("merge").join(moves.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         graph = stage(_both_ways(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "links")
     if labels is None:
         return graph.select(F.col("a").alias("vertex"), F.col("b").alias("component"))

@@ -13,6 +13,10 @@ fifty), and every candidate is verified on its 64 bits.  The join is between
 distinct fingerprints: copies of a text are one row before it starts, and a
 fingerprint has at most 43,744 others within three bits, so links grow with the
 fingerprints, not with the square of a group.
+
+Joins are merge joins by hint.  Spark takes the fifty rows of a fingerprint for
+the bytes of one, and a small file for a small table in memory, so joins by size
+would gather in the driver what grows with the documents.
 """
 
 from __future__ import annotations
@@ -95,14 +99,14 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError("the segments cover at most three differing bits")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance
-    return _keyed(fps, False, "a").join(_keyed(fps, True, "b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return _keyed(fps, False, "a").hint("merge").join(_keyed(fps, True, "b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def component_of(marked: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``fp long, component long`` of every fingerprint in ``marked``."""
     vertices = stage(marked.select("fp").distinct(), "simhash-fingerprints").select("fp", F.xxhash64("fp").alias("vertex"))
     linked = links(vertices, max_distance).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
-    return vertices.join(components(linked), "vertex", "left").select("fp", F.coalesce("component", "vertex").alias("component"))
+    return vertices.hint("merge").join(components(linked), "vertex", "left").select("fp", F.coalesce("component", "vertex").alias("component"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -143,10 +147,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "content", "copies")
     # per fingerprint first, so that a component with very many rows meets only as one row for each
     best = distinct.groupBy("fp").agg(F.min(order).alias("best"))
-    per_component = best.join(component_of(marked, max_distance), "fp").groupBy("component").agg(F.min("best").alias("best"))
+    per_component = best.hint("merge").join(component_of(marked, max_distance), "fp").groupBy("component").agg(F.min("best").alias("best"))
     row, name, same, copies = fresh(df, "row_hash", "kept_id", "kept_hash", "kept_copies")
     winners = per_component.select(F.col("best.doc_id").alias(name), F.col("best.content").alias(same), F.col("best.copies").alias(copies))
     winners = stage(winners, "simhash-kept")
-    kept = df.withColumn(row, content).join(winners, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(row) == F.col(same)))
+    kept = df.withColumn(row, content).hint("merge").join(winners, F.col(id_col).cast("long").eqNullSafe(F.col(name)) & (F.col(row) == F.col(same)))
     once = kept.where(F.col(copies) == 1).select(*names)
     return once.unionByName(kept.where(F.col(copies) > 1).select(*names).dropDuplicates())
