@@ -14,7 +14,7 @@ distinct fingerprints: copies of a text are one row before it starts, and a
 fingerprint has at most 43,744 others within three bits, so links grow with the
 fingerprints, not with the square of a group.
 
-Joins are merge joins by hint.  Spark takes the fifty rows of a fingerprint for
+All joins are merge joins by hint.  Spark takes the fifty rows of a fingerprint for
 the bytes of one, and a small file for a small table in memory, so joins by size
 would gather in the driver what grows with the documents.
 """
@@ -119,10 +119,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     marked = stage(fingerprints(df, id_col, text_col, shingle), "simhash-documents")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = stage(firsts.join(component_of(marked, max_distance), "fp"), "simhash-components")
+    named = stage(firsts.hint("merge").join(component_of(marked, max_distance), "fp"), "simhash-components")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.hint("merge").join(least, "component").select("fp", "component_id")
+    return marked.hint("merge").join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:

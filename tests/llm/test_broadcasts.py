@@ -52,6 +52,11 @@ def test_links_are_a_merge_join(spark, tmp_path):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_near_duplicates_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    docs = documents(spark, tmp_path)
+    assert broadcast_joins(spark, monkeypatch, lambda: simhash.near_duplicates(docs)) == []
+
+
 def test_pipeline_near_duplicates_broadcasts_nothing(spark, tmp_path, monkeypatch):
     docs = documents(spark, tmp_path)
     assert broadcast_joins(spark, monkeypatch, lambda: corpus_pipeline.drop_near_duplicates(spark, docs, "")) == []
